@@ -75,7 +75,7 @@ class Features:
         return t, slot, value, dense
 
 
-def feature_rows(with_label: bool):
+def feature_rows():
     """Arrow mapper: (id, text, metadata, label) to packed features of the labelled sample."""
 
     def run(batches):
@@ -204,17 +204,59 @@ def scorer(shared):
     return run
 
 
-def score_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple = ("n_chars",), sample: int = 8000, folds: int = 3, held: int = 1) -> DataFrame:
-    """Per document: doc_id, held_out, score (higher: label 1 likelier), predicted."""
-    spark = documents.sparkSession
-    fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % folds
-    meta = F.array(F.lit(0.0), *(F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in meta_cols if c in documents.columns))
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), meta.alias("meta"))
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(fold("doc_id") != held)
+def keeper(shared, text_at: int, meta_at: int):
+    """Arrow mapper: whole rows of documents; those that are predicted 1 stay."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        make, machine = Features(), Machine(*shared.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            meta = np.array(batch.column(meta_at).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_at)], ["i", "text"])
+            good, at = np.zeros(batch.num_rows, bool), 0
+            for ids, offsets, data in text_chunks([rows]):
+                t, slot, value, dense = make.of(ids, offsets, data)
+                good[ids] = machine.scores(t, slot, value, np.column_stack([dense, meta[at : at + len(ids)]])) >= 0.5
+                at += len(ids)
+            yield batch.select([i for i in range(batch.num_columns) if i != meta_at]).filter(pa.array(good))
+
+    return run
+
+
+def fold_of(column: str, folds: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+def metadata(documents: DataFrame, meta_cols: tuple):
+    """An array column: 0 and the log-scaled metadata columns that the table has."""
+    return F.array(F.lit(0.0), *(F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in meta_cols if c in documents.columns))
+
+
+def trained(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, meta_cols: tuple, sample: int, folds: int, held: int):
+    """The machine fitted on the labelled sample, as a broadcast of fixed size."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), metadata(documents, meta_cols).alias("meta"))
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(fold_of("doc_id", folds) != held)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "meta", "label")  # at most ``sample`` rows
+    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "meta", "label")  # at most ``sample`` ids
     metas = 1 + sum(c in documents.columns for c in meta_cols)
-    machine = fit([r.block for r in rows.mapInArrow(feature_rows(True), "block binary").collect()], metas)
-    shared = spark.sparkContext.broadcast((machine.bias, machine.weight, machine.factors, machine.centre, machine.scale))
-    out = docs.select("doc_id", "text", "meta", F.coalesce(fold("doc_id") == held, F.lit(False)).alias("held_out"))
+    m = fit([r.block for r in rows.mapInArrow(feature_rows(), "block binary").collect()], metas)
+    return documents.sparkSession.sparkContext.broadcast((m.bias, m.weight, m.factors, m.centre, m.scale))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple = ("n_chars",), sample: int = 8000, folds: int = 3, held: int = 1) -> DataFrame:
+    """The rows of ``documents``, all columns, that the classifier does not reject; a narrow map."""
+    shared = trained(documents, labels, id_col, text_col, label_col, meta_cols, sample, folds, held)
+    rows = documents.withColumn("__meta", metadata(documents, meta_cols))
+    return rows.mapInArrow(keeper(shared, rows.columns.index(text_col), len(rows.columns) - 1), documents.schema)
+
+
+def score_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple = ("n_chars",), sample: int = 8000, folds: int = 3, held: int = 1) -> DataFrame:
+    """Per document: doc_id, held_out, score (higher: label 1 likelier), predicted."""
+    shared = trained(documents, labels, id_col, text_col, label_col, meta_cols, sample, folds, held)
+    out = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), metadata(documents, meta_cols).alias("meta"))
+    out = out.withColumn("held_out", F.coalesce(fold_of("doc_id", folds) == held, F.lit(False)))
     return out.mapInArrow(scorer(shared), "doc_id long, held_out boolean, score double, predicted int")
