@@ -49,7 +49,8 @@ def anchors(data, offsets, length: int, k: int):
     m = n - k + 1
     h = np.zeros(m, u)
     for i in range(0, k, 8):
-        h = scramble(h + v[i : i + m] * u(0x9E3779B97F4A7C15 + 2 * i))
+        h += v[i : i + m] * u(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64))
+    h = scramble(h)
     w = length - k + 1
     least, size = h, 1
     while size * 2 <= w:
@@ -85,7 +86,8 @@ def find_runs(length: int, k: int, buckets: int):
             held.clear()
             if not len(h):
                 return
-            order = np.lexsort((start, doc, ctx))
+            # rows come in order of text and start; only ids can be out of order
+            order = np.argsort(ctx, kind="stable") if (doc[1:] >= doc[:-1]).all() else np.lexsort((start, doc, ctx))
             h, ctx, doc, start, n = (x[order] for x in (h, ctx, doc, start, n))
             new = np.r_[True, ctx[1:] != ctx[:-1]]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -199,13 +201,13 @@ def suffix_order(symbols, depth: int):
     import numpy as np
 
     n = len(symbols)
-    wide = np.r_[symbols, np.zeros(7, np.int64)].astype(np.int64)
+    wide = np.r_[symbols, np.zeros(7, np.uint16)].astype(np.int64)
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = (key << 9) | wide[j : j + n]
     reach = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ties may stand in any order
         s = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]])
@@ -273,8 +275,8 @@ def settle_edges(length: int):
         n = n.astype(np.int64)
         size = n + length
         at = np.cumsum(size) - size
-        symbols = np.zeros(int(size.sum()), np.int64)
-        symbols[ranges(at, size - 1)] = data.astype(np.int64) + 1
+        symbols = np.zeros(int(size.sum()), np.uint16)
+        symbols[ranges(at, size - 1)] = data.astype(np.uint16) + 1
         order, group = common_prefix_classes(symbols, length)
         group_of = np.empty(len(order), np.int64)
         group_of[order] = group
