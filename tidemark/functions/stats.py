@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def finite(c) -> Column:
@@ -56,11 +57,11 @@ def norm_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else t_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else norm_two_sided(a) for a in z], dtype="float64")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flags import BY_DATE
+from .flags import by_date
 from .premium import BPS
 
 
@@ -20,8 +20,8 @@ def regress(df: DataFrame, y: str, x: str, keys: list | None = None, least: int
 
 def target_returns(level: DataFrame, horizon: int = 1) -> DataFrame:
     """(ticker, date, lead_bps, same_bps, lag_bps) of a level series, shifted before any join."""
-    ret = level.withColumn("ret", (F.try_divide(F.col("level"), F.lag("level").over(BY_DATE)) - 1) * BPS)
-    return ret.select("ticker", "date", F.lead("ret", horizon).over(BY_DATE).alias("lead_bps"), F.col("ret").alias("same_bps"), F.lag("ret", horizon).over(BY_DATE).alias("lag_bps"))
+    ret = level.withColumn("ret", (F.try_divide(F.col("level"), F.lag("level").over(by_date())) - 1) * BPS)
+    return ret.select("ticker", "date", F.lead("ret", horizon).over(by_date()).alias("lead_bps"), F.col("ret").alias("same_bps"), F.lag("ret", horizon).over(by_date()).alias("lag_bps"))
 
 
 def premium_with_target(premium: DataFrame, level: DataFrame, horizon: int = 1) -> DataFrame:
@@ -40,9 +40,9 @@ def measure_price_discovery(premium: DataFrame, level: DataFrame, horizon: int =
 
 def gap_session(bars: DataFrame) -> DataFrame:
     """(ticker, date, gap, session, total): the next bar's returns in bps, split at its open."""
-    before = F.lag("close").over(BY_DATE)
+    before = F.lag("close").over(by_date())
     r = bars.select("ticker", "date", ((F.try_divide(F.col("open"), before) - 1) * BPS).alias("g"), ((F.try_divide(F.col("close"), F.col("open")) - 1) * BPS).alias("s"), ((F.try_divide(F.col("close"), before) - 1) * BPS).alias("t"))
-    return r.select("ticker", "date", F.lead("g").over(BY_DATE).alias("gap"), F.lead("s").over(BY_DATE).alias("session"), F.lead("t").over(BY_DATE).alias("total"))
+    return r.select("ticker", "date", F.lead("g").over(by_date()).alias("gap"), F.lead("s").over(by_date()).alias("session"), F.lead("t").over(by_date()).alias("total"))
 
 
 def gap_share(premium: DataFrame, bars: DataFrame) -> DataFrame:

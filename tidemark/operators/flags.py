@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .premium import BPS, require
 
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
+def by_date():
+    """Rows of a key in order of date; made on call, as it needs a session."""
+    return Window.partitionBy("ticker").orderBy("date")
+
 
 
 def add_quality_flags(df: DataFrame, band_bps: float | None = None, price_move_bps: float = 25.0, nav_move_bps: float = 1.0) -> DataFrame:
@@ -15,7 +18,7 @@ def add_quality_flags(df: DataFrame, band_bps: float | None = None, price_move_b
     require(df, "close", "nav", "premium_bps")
     if band_bps is not None and band_bps <= 0:
         raise ValueError("band_bps must be positive")
-    move = lambda c: F.abs(F.try_divide(F.col(c), F.lag(c).over(BY_DATE)) - 1) * BPS
+    move = lambda c: F.abs(F.try_divide(F.col(c), F.lag(c).over(by_date())) - 1) * BPS
     band = F.col("band_bps") if band_bps is None else F.lit(band_bps)
     still = F.coalesce(move("nav") <= nav_move_bps, F.lit(False))
     return df.withColumns({
@@ -27,7 +30,7 @@ def add_quality_flags(df: DataFrame, band_bps: float | None = None, price_move_b
 
 def longest_run(df: DataFrame, flag: str = "nav_unchanged") -> DataFrame:
     """Per key: length of the longest run of consecutive rows with the flag."""
-    island = F.sum((~F.col(flag)).cast("long")).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum((~F.col(flag)).cast("long")).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     runs = df.withColumn("island", island).groupBy("ticker", "island").agg(F.count_if(F.col(flag)).alias("length"))
     return runs.groupBy("ticker").agg(F.max("length").alias("longest_run"))
 

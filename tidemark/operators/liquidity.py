@@ -7,16 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .flags import BY_DATE
+from .flags import by_date
 from .premium import BPS, require
 
 
 def high_low_spread(high: str = "high", low: str = "low", close: str | None = None, clip: bool = False) -> Column:
     """Corwin-Schultz spread of each day and the day before; day two moves by the overnight gap if ``close`` is given."""
-    h1, l1 = F.lag(high).over(BY_DATE), F.lag(low).over(BY_DATE)
+    h1, l1 = F.lag(high).over(by_date()), F.lag(low).over(by_date())
     h2, l2 = F.col(high), F.col(low)
     if close is not None:
-        before = F.lag(close).over(BY_DATE)
+        before = F.lag(close).over(by_date())
         gap = F.coalesce(F.greatest(before - h2, F.lit(0.0)) - F.greatest(l2 - before, F.lit(0.0)), F.lit(0.0))
         h2, l2 = h2 + gap, l2 + gap
     square = lambda a, b: F.pow(F.ln(F.try_divide(a, b)), 2)
@@ -38,7 +38,8 @@ def check_range(df: DataFrame) -> None:
 def profile_liquidity(df: DataFrame) -> DataFrame:
     """Per key: dollar volume, spread in bps unclipped and clipped, share of negative estimates, median daily range."""
     require(df, "high", "low", "close", "volume")
-    rows = df.withColumn("spread", high_low_spread(close="close")).withColumn("dollars", F.col("close") * F.col("volume"))
+    # twelve digits: a spread of zero must not become negative by rounding errors
+    rows = df.withColumn("spread", F.round(high_low_spread(close="close"), 12)).withColumn("dollars", F.col("close") * F.col("volume"))
     out = rows.groupBy("ticker").agg(
         F.median("dollars").alias("median_dollar_volume"), F.avg("dollars").alias("mean_dollar_volume"),
         (F.avg("spread") * BPS).alias("spread_bps"), (F.avg(F.when(F.col("spread").isNotNull(), F.greatest("spread", F.lit(0.0)))) * BPS).alias("spread_clipped_bps"),

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import finite, normal_p, student_p, z_value
 
-from .flags import BY_DATE
+from .flags import by_date
 
 
 def pairs(df: DataFrame, value: str = "x") -> DataFrame:
     """(ticker, date, x, y): consecutive finite values, adjacency taken after dropping the others."""
     rows = df.where(finite(value)).select("ticker", "date", F.col(value).cast("double").alias("y"))
-    return rows.withColumn("x", F.lag("y").over(BY_DATE)).where("x IS NOT NULL")
+    return rows.withColumn("x", F.lag("y").over(by_date())).where("x IS NOT NULL")
 
 
 def fit_ar1(df: DataFrame, value: str = "x", cov_type: str = "HC1", p_value: bool = True, least: int = 3) -> DataFrame:

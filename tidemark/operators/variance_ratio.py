@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import finite, normal_p
 
-from .flags import BY_DATE
+from .flags import by_date
 
 
 def variance_ratios(df: DataFrame, value: str = "x", horizons: tuple = (2, 5, 10, 20), p_value: bool = True) -> DataFrame:
@@ -16,11 +16,11 @@ def variance_ratios(df: DataFrame, value: str = "x", horizons: tuple = (2, 5, 10
         raise ValueError("horizons start at 2")
     x = F.col("v")
     rows = df.where(finite(value)).select("ticker", "date", F.col(value).cast("double").alias("v"))
-    rows = rows.withColumn("d", x - F.lag(x).over(BY_DATE))
+    rows = rows.withColumn("d", x - F.lag(x).over(by_date()))
     rows = rows.withColumn("mu", F.avg("d").over(Window.partitionBy("ticker")))
     rows = rows.withColumn("c", F.pow(F.col("d") - F.col("mu"), 2))
     most = max(horizons)
-    lagged = {f"x{q}": F.lag("v", q).over(BY_DATE) for q in horizons} | {f"c{j}": F.lag("c", j).over(BY_DATE) for j in range(1, most)}
+    lagged = {f"x{q}": F.lag("v", q).over(by_date()) for q in horizons} | {f"c{j}": F.lag("c", j).over(by_date()) for j in range(1, most)}
     rows = rows.withColumns(lagged)
     sums = [F.count("d").alias("m"), F.sum("c").alias("sc")]
     sums += [F.sum(F.pow(x - F.col(f"x{q}") - q * F.col("mu"), 2)).alias(f"q{q}") for q in horizons]
