@@ -8,10 +8,15 @@ prefixes in that order, so only prefix elements are joined:
 2. Within the groups that hold an element, sizes too far apart and positions too late part the
    list; the groups that stay together are named by the one whose element comes first.  Every
    candidate pair of groups carries a common name.
-3. Names are expanded to member documents and their sets are compared exactly, block by block: a
+3. Names are expanded to member documents, whose pairs are filtered by bit sketches of their sets:
+   similar sets differ in a bounded number of elements, and so in as many bits at most.
+   Documents without a partner drop out; what holds together, under any names, makes a block, so
+   that each set is sent once.
+4. The sets of the documents that are left are compared exactly, block by block: a
    block's intersection sizes are one product of 0/1 matrices.  Only a spanning forest leaves a
-   block.  Blocks of more than ``block`` members are cut; documents that have not joined the main
-   component of their block are then compared with the rest of it, tile by tile.
+   block.  Blocks of more than ``block`` members are cut, and each part also gets the member whose
+   elements led most lists; documents that have not joined the main component of their block are
+   then compared with the rest of it, tile by tile.
 
 No task holds more than a few blocks and nothing quadratic in a group's size is written.  Sets are
 compared by 64-bit shingle hashes.  Copies of one set are collapsed before the comparison.
@@ -30,6 +35,10 @@ from .common import NULL_ID, bucket_count, components, join_by_size, pack, share
 from .textops import Words, chain, ranges, scramble, text_chunks
 
 SLOTS = 1 << 22
+#: Bits of a sketch for each element, at least; sketches have a power of two of bits.
+BITS = 2
+#: Names with more documents than this are not filtered but kept whole, and cut later.
+FILTERED = 4096
 
 
 def shingle_sets(batches, width: int):
@@ -105,7 +114,7 @@ def prefixes(width: int, num: int, den: int, slots: bytes, buckets: int):
         import pyarrow as pa
 
         common = np.unpackbits(unpack(slots)[0]).astype(bool)
-        for batch in batches:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):  # bounds memory
             info, entries = [], []
             for ids, first, items in shingle_sets([batch], width):
                 n = np.diff(first)
@@ -122,7 +131,15 @@ def prefixes(width: int, num: int, den: int, slots: bytes, buckets: int):
                 sig = scramble(span(a, first[1:]) + n.astype(np.uint64))
                 sig2 = scramble(span(b, first[1:]))
                 group = scramble(span(a, first[:-1] + size) * np.uint64(31) + n.astype(np.uint64))
-                info.append((ids, n, sig, sig2, group))
+                place_of = mixed >> np.uint64(20)
+                sketch, held = [], np.zeros(len(ids), np.int64)
+                for i, (lo, k) in enumerate(zip(first[:-1].tolist(), n.tolist())):
+                    width_of = max(64, 1 << (BITS * k - 1).bit_length()) if k else 0
+                    bits = np.zeros(width_of, np.uint8)
+                    bits[(place_of[lo : lo + k] & np.uint64(max(width_of - 1, 0))).astype(np.int64)] = 1
+                    sketch.append(np.packbits(bits))
+                    held[i] = width_of // 8
+                info.append((ids, n, sig, sig2, group, held, np.concatenate(sketch)))
                 _, one = np.unique(group[n > 0], return_index=True)
                 one = np.flatnonzero(n > 0)[one]
                 at = ranges(first[one], size[one])
@@ -130,8 +147,7 @@ def prefixes(width: int, num: int, den: int, slots: bytes, buckets: int):
                 entries.append((items[at], group[owner], n[owner], place[at]))
             if not info:
                 continue
-            ids, n, sig, sig2, group = (np.concatenate(x) for x in zip(*info))
-            rows = [(1, *x) for x in split_rows(ids % buckets, [ids, n, sig, sig2, group])]
+            rows = [(1, int(x[0][0]) % buckets, pack(list(x))) for x in info]
             item, g, size, place = (np.concatenate(x) for x in zip(*entries))
             order = np.argsort(item, kind="stable")
             item, g, size, place = (x[order] for x in (item, g, size, place))
@@ -148,8 +164,10 @@ def described(batches):
 
     for batch in batches:
         for block in batch.column("block"):
-            ids, n, sig, sig2, group = unpack(block.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids, n, sig.view(np.int64), sig2.view(np.int64), group.view(np.int64))], ["doc", "n", "sig", "sig2", "grp"])
+            ids, n, sig, sig2, group, held, raw = unpack(block.as_py())
+            raw, ends = raw.tobytes(), np.cumsum(held).tolist()
+            sketch = pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (ids, n, sig.view(np.int64), sig2.view(np.int64), group.view(np.int64))), sketch], ["doc", "n", "sig", "sig2", "grp", "sketch"])
 
 
 def named_groups(num: int, den: int):
@@ -184,6 +202,96 @@ def named_groups(num: int, den: int):
     return run
 
 
+def plausible(n, sketches: list, num: int, den: int):
+    """Square matrix: which pairs of sets their sizes and sketches allow to be similar."""
+    import numpy as np
+
+    wide = np.array([len(s) for s in sketches]) * 8
+    out = np.zeros((len(n), len(n)), bool)
+
+    def bits(i, width):
+        x = np.unpackbits(np.frombuffer(b"".join(sketches[k] for k in i), np.uint8)).reshape(len(i), -1)
+        return (x.reshape(len(i), -1, width).max(1) if x.shape[1] > width else x).astype(np.float32)
+
+    for w in np.unique(wide):
+        for v in (w, 2 * w):  # sizes that differ more than twofold are never similar
+            left, right = np.flatnonzero(wide == w), np.flatnonzero(wide == v)
+            rows = int(max(16, min(256, (1 << 22) // w)))
+            for lo in range(0, len(left), rows):
+                i = left[lo : lo + rows]
+                x = bits(i, w)
+                for at in range(0, len(right), 4 * rows):
+                    j = right[at : at + 4 * rows]
+                    y = bits(j, w)
+                    a, b = n[i][:, None], n[j][None, :]
+                    need = -(-num * (a + b) // (num + den))
+                    both = x @ y.T
+                    ok = (x.sum(1)[:, None] - both <= a - need) & (y.sum(1)[None, :] - both <= b - need)
+                    out[np.ix_(i, j)] |= ok
+                    out[np.ix_(j, i)] |= ok.T
+    return out
+
+
+def labels_of(near, rows: int = 256):
+    """Smallest index that each index reaches through a symmetric boolean matrix."""
+    import numpy as np
+
+    label = np.arange(len(near))
+    while True:
+        low = label.copy()
+        for lo in range(0, len(near), rows):
+            part = near[lo : lo + rows]
+            low[lo : lo + rows] = np.minimum(low[lo : lo + rows], np.where(part, low[None, :], len(near)).min(1))
+        if (low == label).all():
+            return label
+        label = low
+
+
+def filtered_pairs(num: int, den: int):
+    """Group function over whole names: a spanning forest of the pairs of documents that may be similar."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        name, g, n = (table.column(c).to_numpy() for c in ("name", "doc", "n"))
+        sketch = table.column("sketch").to_pylist()
+        order = np.lexsort((g, name))
+        cuts = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
+        left, right = [], []
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            i = order[lo:hi]
+            label = labels_of(plausible(n[i], [sketch[k] for k in i], num, den)) if len(i) <= FILTERED else np.zeros(len(i), np.int64)
+            moved = np.flatnonzero(label != np.arange(len(i)))
+            left.append(g[i[label[moved]]])
+            right.append(g[i[moved]])
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return run
+
+
+def open_pairs(num: int, den: int):
+    """Group function over whole tiles: (block, doc) of the documents that may still gain a link."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        block, doc, n, part = (table.column(c).to_numpy() for c in ("block", "doc", "n", "component_id"))
+        sketch = table.column("sketch").to_pylist()
+        order = np.lexsort((doc, block))
+        cuts = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
+        kept = []
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            i = order[lo:hi]
+            near = plausible(n[i], [sketch[k] for k in i], num, den) & (part[i][:, None] != part[i][None, :])
+            kept.append(i[near.any(1)])
+        kept = np.concatenate(kept)
+        return pa.table({"block": block[kept], "doc": doc[kept]})
+
+    return run
+
+
 def member_sets(width: int):
     """Arrow mapper: (doc, text, blocks) to the packed set once for each block."""
 
@@ -193,14 +301,15 @@ def member_sets(width: int):
 
         for batch in batches:
             where = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
-            out = []
+            out, size = [], 0
             for ids, first, items in shingle_sets([batch], width):
                 for i, d in enumerate(ids.tolist()):
                     block = items[first[i] : first[i + 1]].tobytes()
                     out += [(b, d, block) for b in where[d]]
-                if len(out) > 4000:
+                    size += len(block) * len(where[d])
+                if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["block", "doc", "items"])
-                    out = []
+                    out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["block", "doc", "items"])
 
@@ -248,14 +357,7 @@ def compare_blocks(num: int, den: int):
             i = i[np.r_[True, doc[i][1:] != doc[i][:-1]]]
             if len(i) < 2:
                 continue
-            near = similar_pairs([np.frombuffer(items[k], np.uint64) for k in i], num, den)
-            label = np.arange(len(i))
-            while True:
-                low = np.where(near, label[None, :], len(i)).min(1)
-                low = np.minimum(low, label)
-                if (low == label).all():
-                    break
-                label = low
+            label = labels_of(similar_pairs([np.frombuffer(items[k], np.uint64) for k in i], num, den))
             links += [(doc[i[k]], doc[i[r]]) for k, r in enumerate(label.tolist()) if k != r]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
@@ -278,15 +380,21 @@ def linked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots = common_slots(docs, width)
     buckets = bucket_count(docs, 8 << 20)
     made = shared_table(docs.mapInArrow(prefixes(width, num, den, slots, buckets), "kind int, bucket int, block binary"))
-    info = shared_table(made.where("kind = 1").mapInArrow(described, "doc long, n long, sig long, sig2 long, grp long"))
-    sets = shared_table(info.where("n > 0").groupBy("n", "sig", "sig2", "grp").agg(F.min("doc").alias("doc")))
-    names = made.where("kind = 0").groupBy("bucket").applyInArrow(named_groups(num, den), "name long, grp long")
+    info = shared_table(made.where("kind = 1").mapInArrow(described, "doc long, n long, sig long, sig2 long, grp long, sketch binary"))
+    sets = shared_table(info.where("n > 0").groupBy("n", "sig", "sig2", "grp").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch")))
+    names = shared_table(made.where("kind = 0").groupBy("bucket").applyInArrow(named_groups(num, den), "name long, grp long").distinct())
     alone = sets.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("name"), "grp")
-    named = shared_table(names.union(alone).distinct().join(sets.select("grp", "doc"), "grp").select("name", "doc").distinct())
-    sizes = named.groupBy("name").agg(F.count("*").alias("many"), F.min("doc").alias("head")).where("many > 1")
+    members = names.union(alone).distinct().join(sets.select("grp", "doc", "n", "sketch"), "grp")
+    bins = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
+    may = members.groupBy(F.pmod(F.xxhash64("name"), F.lit(bins)).alias("bin")).applyInArrow(filtered_pairs(num, den), "a long, b long")
+    blocks = components(may).select(F.col("id").alias("doc"), F.col("component_id").alias("name"))
+    lists = names.groupBy(F.col("name").alias("grp")).agg(F.count("*").alias("lists"))
+    named = sets.join(lists, "grp", "left").join(blocks, "doc").select("name", "doc", F.coalesce("lists", F.lit(0).cast("long")).alias("lists"))
+    named = shared_table(named)
+    sizes = named.groupBy("name").agg(F.count("*").alias("many"), F.max_by("doc", F.struct("lists", "doc")).alias("head")).where("many > 1")
     cut = F.ceil(F.col("many") / block).cast("long")
     part = F.pmod(F.xxhash64("doc"), F.col("cut"))
-    parted = named.join(sizes.select("name", "head", cut.alias("cut")), "name").withColumn("part", part)
+    parted = named.select("name", "doc").join(sizes.select("name", "head", cut.alias("cut")), "name").withColumn("part", part)
     parted = shared_table(parted)
     heads = parted.where("doc = head and cut > 1").select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("part"), "doc")
     first = parted.select("name", "part", "doc").union(heads).distinct()
@@ -302,7 +410,10 @@ def linked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = rest.join(some, "name").withColumn("tile", F.pmod(F.xxhash64("doc", F.lit(7)), "tiles"))
         spread = rest.select("name", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("part"), "doc")
         others = at.join(some, "name").select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "part", "doc")
-        second = shared_table(spread.union(others).select(F.xxhash64("name", "tile", "part", F.lit("tile")).alias("block"), "doc").distinct())
+        tiles = spread.union(others).select(F.xxhash64("name", "tile", "part", F.lit("tile")).alias("block"), "doc").distinct()
+        facts = at.select("doc", "component_id").join(sets.select("doc", "n", "sketch"), "doc")
+        tiles = tiles.join(facts, "doc").groupBy(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"))
+        second = shared_table(tiles.applyInArrow(open_pairs(num, den), "block long, doc long"))
         if second.limit(1).count():
             links = links.union(compared(docs, second, width, num, den))
     class_of = components(links)
