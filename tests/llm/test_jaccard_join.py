@@ -64,3 +64,8 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (4, "A b c d e"), (4, "A b c d e"), (7, ""), (8, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in linked(df).collect())
     assert got == [(-1, 2, None), (4, 2, None), (4, 2, None), (7, 0, 7), (8, 0, 8)]
+
+
+def test_crowded_names_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.jaccard_join.FILTERED", 3)
+    check(spark, make(7), block=6)

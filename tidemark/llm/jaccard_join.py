@@ -37,7 +37,7 @@ from .textops import Words, chain, ranges, scramble, text_chunks
 SLOTS = 1 << 22
 #: Bits of a sketch for each element, at least; sketches have a power of two of bits.
 BITS = 2
-#: Names with more documents than this are not filtered but kept whole, and cut later.
+#: Names with more documents than this are never gathered: they are kept whole, and cut later.
 FILTERED = 4096
 
 
@@ -261,7 +261,7 @@ def filtered_pairs(num: int, den: int):
         left, right = [], []
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             i = order[lo:hi]
-            label = labels_of(plausible(n[i], [sketch[k] for k in i], num, den)) if len(i) <= FILTERED else np.zeros(len(i), np.int64)
+            label = labels_of(plausible(n[i], [sketch[k] for k in i], num, den))
             moved = np.flatnonzero(label != np.arange(len(i)))
             left.append(g[i[label[moved]]])
             right.append(g[i[moved]])
@@ -384,9 +384,14 @@ def linked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = shared_table(info.where("n > 0").groupBy("n", "sig", "sig2", "grp").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch")))
     names = shared_table(made.where("kind = 0").groupBy("bucket").applyInArrow(named_groups(num, den), "name long, grp long").distinct())
     alone = sets.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("name"), "grp")
-    members = names.union(alone).distinct().join(sets.select("grp", "doc", "n", "sketch"), "grp")
+    pairs = shared_table(names.union(alone).distinct().join(sets.select("grp", "doc"), "grp").select("name", "doc"))
+    crowd = pairs.groupBy("name").agg(F.count("*").alias("many"), F.min("doc").alias("head")).where(F.col("many") > FILTERED)
+    crowd = shared_table(crowd.select("name", "head"))
     bins = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
-    may = members.groupBy(F.pmod(F.xxhash64("name"), F.lit(bins)).alias("bin")).applyInArrow(filtered_pairs(num, den), "a long, b long")
+    few = join_by_size(pairs, crowd.select("name"), "name", "left_anti").join(sets.select("doc", "n", "sketch"), "doc")
+    may = few.groupBy(F.pmod(F.xxhash64("name"), F.lit(bins)).alias("bin")).applyInArrow(filtered_pairs(num, den), "a long, b long")
+    many = join_by_size(pairs, crowd, "name", "inner").where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
+    may = may.union(many)
     blocks = components(may).select(F.col("id").alias("doc"), F.col("component_id").alias("name"))
     lists = names.groupBy(F.col("name").alias("grp")).agg(F.count("*").alias("lists"))
     named = sets.join(lists, "grp", "left").join(blocks, "doc").select("name", "doc", F.coalesce("lists", F.lit(0).cast("long")).alias("lists"))
