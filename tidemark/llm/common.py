@@ -34,6 +34,11 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes from now on: long texts must not fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; 0 if it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

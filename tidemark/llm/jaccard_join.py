@@ -31,8 +31,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bucket_count, components, join_by_size, pack, shared_table, split_rows, stacked, unpack
-from .textops import Words, chain, ranges, scramble, text_chunks
+from .common import NULL_ID, bounded_batches, bucket_count, components, join_by_size, pack, shared_table, split_rows, stacked, unpack
+from .textops import Words, chain, ranges, scramble, text_chunks, trim
 
 SLOTS = 1 << 22
 #: Bits of a sketch for each element, at least; sketches have a power of two of bits.
@@ -74,7 +74,8 @@ def slot_counts(width: int, parts: int):
 
         total = np.zeros(SLOTS, np.uint32)
         for _, _, items in shingle_sets(batches, width):
-            total += np.bincount((items >> np.uint64(42)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            slot, times = np.unique((items >> np.uint64(42)).astype(np.uint32), return_counts=True)
+            total[slot] += times.astype(np.uint32)
         if total.any():
             blocks = [pack([x]) for x in np.split(total, parts)]
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
@@ -265,6 +266,7 @@ def filtered_pairs(num: int, den: int):
             moved = np.flatnonzero(label != np.arange(len(i)))
             left.append(g[i[label[moved]]])
             right.append(g[i[moved]])
+        trim()
         return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
 
     return run
@@ -287,6 +289,7 @@ def open_pairs(num: int, den: int):
             near = plausible(n[i], [sketch[k] for k in i], num, den) & (part[i][:, None] != part[i][None, :])
             kept.append(i[near.any(1)])
         kept = np.concatenate(kept)
+        trim()
         return pa.table({"block": block[kept], "doc": doc[kept]})
 
     return run
@@ -359,6 +362,7 @@ def compare_blocks(num: int, den: int):
                 continue
             label = labels_of(similar_pairs([np.frombuffer(items[k], np.uint64) for k in i], num, den))
             links += [(doc[i[k]], doc[i[r]]) for k, r in enumerate(label.tolist()) if k != r]
+        trim()
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return run
@@ -377,6 +381,7 @@ def compared(docs: DataFrame, members: DataFrame, width: int, num: int, den: int
 def linked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, block: int = 256) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
     slots = common_slots(docs, width)
     buckets = bucket_count(docs, 8 << 20)
     made = shared_table(docs.mapInArrow(prefixes(width, num, den, slots, buckets), "kind int, bucket int, block binary"))

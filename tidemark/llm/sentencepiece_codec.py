@@ -18,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+from .textops import trim
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 REMEMBER = 300_000
@@ -199,12 +202,14 @@ def digests(shared, names: list, tokens: bool):
             if tokens:
                 cols.append(pa.array([r[5] for r in out], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names)
+            trim()
 
     return run
 
 
 def encode_digest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, tokens: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, n_byte_tokens, ids_sha256, decoded_sha256, round_trip (and token_ids)."""
+    bounded_batches(documents.sparkSession)
     shared = shared_codec(documents.sparkSession, model)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256", "round_trip"] + ["token_ids"] * tokens

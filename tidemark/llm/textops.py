@@ -3,6 +3,19 @@
 from __future__ import annotations
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; reused workers would hold it between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_chunks(batches, limit: int = 2 << 20):
     """Yields (ids, offsets, bytes) of whole texts, about ``limit`` bytes at a time.
 
@@ -29,6 +42,7 @@ def text_chunks(batches, limit: int = 2 << 20):
             end = max(at + 1, int(np.searchsorted(o, o[at] + limit, "right")) - 1)
             yield ids[at:end], o[at : end + 1] - o[at], raw[o[at] : o[end]]
             at = end
+        trim()
 
 
 def separators(kind: str):
