@@ -1,9 +1,11 @@
-"""The thin queries over the driver's tables, and the SQL for those that SQL can express."""
+"""The thin queries over the driver's tables; the SQL for those that SQL can express is in ``oracles``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import SQL as SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,11 +75,3 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_chat_format, op4_embedding_dedup, op5_sentencepiece, op6_secret_scan, op7_warc, op8_kneser_ney, op9_quality, op10_jaccard_join)}
-SQL: dict[str, str] = {
-    "op7_warc": """
-SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
-       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first_id THEN first_id END AS refers_to
-FROM (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM pages)
-""",
-}
