@@ -179,6 +179,7 @@ def digests(shared, names: list, tokens: bool):
     """Arrow mapper: the last column is the text, the others are kept."""
 
     def run(batches):
+        import gc
         import hashlib
 
         import numpy as np
@@ -203,6 +204,10 @@ def digests(shared, names: list, tokens: bool):
                 cols.append(pa.array([r[5] for r in out], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names)
             trim()
+        # the codec and its memory of parts refer to each other; a reused worker would keep them
+        del codec
+        gc.collect()
+        trim()
 
     return run
 
