@@ -174,7 +174,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, 4 << 20)
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     blocks = item_blocks(benchmark, item_col, item_text, block_bytes)

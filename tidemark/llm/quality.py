@@ -239,7 +239,7 @@ def metadata(documents: DataFrame, meta_cols: tuple):
 
 def trained(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, meta_cols: tuple, sample: int, folds: int, held: int):
     """The machine fitted on the labelled sample, as a broadcast of fixed size."""
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, 4 << 20)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), metadata(documents, meta_cols).alias("meta"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(fold_of("doc_id", folds) != held)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)

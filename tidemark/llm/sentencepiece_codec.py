@@ -214,7 +214,7 @@ def digests(shared, names: list, tokens: bool):
 
 def encode_digest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, tokens: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, n_byte_tokens, ids_sha256, decoded_sha256, round_trip (and token_ids)."""
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, 4 << 20)
     shared = shared_codec(documents.sparkSession, model)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256", "round_trip"] + ["token_ids"] * tokens
