@@ -221,9 +221,15 @@ def bootstrap_indices(spark, d):
 
 @query
 def bootstrap_interval(spark, d):
+    """A variant with 40 replicates, for its SQL; bootstrap_interval_full does the whole job."""
     return rounded(bootstrap.bootstrap_interval(series(spark, d), n_boot=40))
 
 
+@query
+def bootstrap_interval_full(spark, d):
+    return rounded(bootstrap.bootstrap_interval(series(spark, d)))
+
+
 @query
 def adf_test(spark, d):
     return rounded(reversion.adf_test(series(spark, d)))
