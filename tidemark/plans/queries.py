@@ -11,7 +11,7 @@ from tidemark.operators.flags import by_date
 from tidemark.operators.premium import add_premium, describe_premium
 from tidemark.sources.nav_files import sniff_format
 
-from . import panels
+from . import panels, report
 
 QUERIES: dict = {}
 
@@ -275,6 +275,28 @@ def overlap_matrix(spark, d):
     return cross_section.overlap_matrix(cross_section.interval_pairs(_results(spark, d)))
 
 
+def smoothed(spark, d):
+    """The daily panel with prices whose deviation is the ma5 series; high and low still hold the price."""
+    rows = types(spark, d).join(series(spark, d), ["ticker", "date"]).withColumn("close", F.col("nav") * (1 + F.col("x") / 10000))
+    return rows.select("ticker", "date", "close", "nav", F.greatest("high", "close").alias("high"), F.least("low", "close").alias("low"), "volume")
+
+
+def _report(spark, d):
+    rows = smoothed(spark, d)
+    return report.analyse(rows.drop("nav"), rows.select("ticker", "date", "nav"), panels.universe(spark).withColumnRenamed("band_bps", "outlier_band_bps"))
+
+
+@query
+def report_table(spark, d):
+    return rounded(_report(spark, d))
+
+
+@query
+def report_separation(spark, d):
+    """Pairs among keys with an estimate, on bootstrap intervals."""
+    return cross_section.separation(cross_section.interval_pairs(_report(spark, d).where("half_life IS NOT NULL")))
+
+
 @query
 def plot_order(spark, d):
     rows = _results(spark, d).withColumn("half_life", F.when(F.col("role") == "primary", F.col("half_life")))
