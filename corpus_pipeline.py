@@ -5,35 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, join_by_size, shared_table
-from tidemark.llm.decontaminate import find_leaks
-from tidemark.llm.jaccard_join import linked
+from tidemark.llm.common import join_by_size, shared_table
+from tidemark.llm.decontaminate import keep_clean
+from tidemark.llm.jaccard_join import linked_keys, row_keys
 from tidemark.llm.quality import keep_good
 from tidemark.llm.secret_scan import redact
 from tidemark.llm.sentencepiece_codec import encode_digest
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (null included) is not among ``ids``."""
-    gone = shared_table(ids.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct())
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(NULL_ID)))
-    return join_by_size(keyed, gone, "__key", "left_anti", 16).select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents (five-word shingles, 0.8) the one with the smallest doc_id stays."""
-    groups = linked(docs, width=5, num=80)
-    return _without(docs, groups.where("doc_id IS NOT NULL AND NOT component_id <=> doc_id"))
+    """Of each group of similar documents (five-word shingles, 0.8) the one with the smallest doc_id (any null first) stays."""
+    keyed = row_keys(docs)
+    gone = linked_keys(keyed, "__key", width=5, num=80).where("component_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
+    return join_by_size(keyed, shared_table(gone), "__key", "left_anti", 16).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

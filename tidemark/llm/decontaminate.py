@@ -159,6 +159,27 @@ def scan(shared, last: bool):
     return run
 
 
+def keeper(shared, text_at: int):
+    """Arrow mapper: whole rows of documents; those without an occurrence stay."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        waiting = []
+
+        def texts():
+            for batch in batches:
+                waiting.append(batch)
+                none = [pa.nulls(batch.num_rows, pa.list_(t)) for t in (pa.int64(), pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_at), *none], ["doc_id", "text", "spans", "items"])
+
+        for out in scan(shared, True)(texts()):
+            yield waiting.pop(0).filter(pa.array(~np.array(out.column(5).to_pylist(), bool)))
+
+    return run
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
     """The items, streamed to the driver in blocks of at most ``limit`` bytes (or one item)."""
     block, size = [], 0
@@ -186,3 +207,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             return docs.mapInArrow(scan(shared, True), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
         docs = docs.mapInArrow(scan(shared, False), "doc_id long, text string, spans array<bigint>, items array<string>")
         block = after
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``documents``, all columns, that hold no window of an item; each row is judged by itself."""
+    bounded_batches(documents.sparkSession, 4 << 20)
+    schema, text_at = documents.schema, documents.columns.index(text_col)
+    for block in item_blocks(benchmark, item_col, item_text, block_bytes):
+        shared = documents.sparkSession.sparkContext.broadcast((item_windows(block, window), [x[0] for x in block]))
+        documents = documents.mapInArrow(keeper(shared, text_at), schema)
+    return documents

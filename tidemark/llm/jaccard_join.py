@@ -21,8 +21,8 @@ prefixes in that order, so only prefix elements are joined:
 No task holds more than a few blocks and nothing quadratic in a group's size is written.  Sets are
 compared by 64-bit shingle hashes.  Copies of one set are collapsed before the comparison.
 
-A null or empty text has no shingles and links with nothing.  A null id is a vertex of its own that
-sorts first.  Rows that repeat an id with one text count as one document.  Other columns are
+A null or empty text has no shingles and links with nothing.  Each row with a null id is a
+vertex of its own; these sort first.  Rows that repeat an id with one text count as one document.  Other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -39,6 +39,8 @@ SLOTS = 1 << 22
 BITS = 2
 #: Names with more documents than this are never gathered: they are kept whole, and cut later.
 FILTERED = 4096
+#: Rows without an id have keys of their own, from NULL_ID on and below this.
+NULL_KEYS = NULL_ID + (1 << 56)
 
 
 def shingle_sets(batches, width: int):
@@ -378,9 +380,23 @@ def compared(docs: DataFrame, members: DataFrame, width: int, num: int, den: int
     return sets.groupBy(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin")).applyInArrow(compare_blocks(num, den), "a long, b long")
 
 
+def row_keys(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows with ``__key``: the id, or a key below NULL_KEYS of its own for each row without one."""
+    key = F.col(id_col).cast("long")
+    without = shared_table(documents.where(key.isNull()).withColumn("__key", F.monotonically_increasing_id() + NULL_ID))  # written, so keys stay
+    return documents.where(key.isNotNull()).withColumn("__key", key).unionByName(without)
+
+
 def linked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, block: int = 256) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links; null ids come first)."""
+    out = linked_keys(row_keys(documents, id_col), "__key", text_col, width, num, den, block)
+    null = lambda c: F.when(F.col(c) >= NULL_KEYS, F.col(c)).alias(c)
+    return out.select(null("doc_id"), "n_shingles", null("component_id"))
+
+
+def linked_keys(documents: DataFrame, key_col: str, text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, block: int = 256) -> DataFrame:
+    """As ``linked``, by a key without nulls."""
+    docs = documents.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"))
     bounded_batches(docs.sparkSession)
     slots = common_slots(docs, width)
     buckets = bucket_count(docs, 8 << 20)
@@ -428,6 +444,4 @@ def linked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             links = links.union(compared(docs, second, width, num, den))
     class_of = components(links)
     heads = sets.join(class_of.withColumnRenamed("id", "doc"), "doc", "left").select("n", "sig", "sig2", F.coalesce("component_id", "doc").alias("component_id"))
-    out = info.join(heads, ["n", "sig", "sig2"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
-    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(null("doc").alias("doc_id"), "n_shingles", null("component_id").alias("component_id"))
+    return info.join(heads, ["n", "sig", "sig2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
