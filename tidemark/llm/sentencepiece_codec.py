@@ -1,13 +1,20 @@
 """SentencePiece encoding by Unigram Viterbi over a double-array trie, and decoding.
 
-Pieces and their log scores come from a public model file; nothing is trained.  A text gets a space
-in front, spaces are whitespace markers, and no other normalisation is done, so decoding gives the
-text back exactly.  A character that no piece spells becomes its bytes; so does a marker character
-that the text itself holds.  The score of such a character is the lowest score less ten.
-
-No piece holds a line break, or a marker behind another character, so texts are cut there without
-changing the best path, and each distinct part is segmented once in a task (the memory for this is
-bounded).  Nothing is shuffled; the trie (a few MB, fixed by the vocabulary file) is broadcast.
+Pieces come from a public model file; no tokenizer is trained.  If the file's scores are log
+probabilities they are taken as they are.  A file of merge ranks (whole numbers) holds none, so log
+scores are made from the ranks alone by Zipf's law: ``ln p = -ln(1 + rank) - ln(sum of 1 / (1 + rank))``.
+
+A text gets a space in front, spaces are whitespace markers, and no other normalisation is done, so
+decoding gives the text back exactly.  A character that no piece spells becomes its bytes; so does a
+marker character that the text itself holds.  The score of such a character is the lowest score less
+ten.  Of paths with equal scores the one whose last piece starts first wins, at each place.
+
+If no piece holds a line break, or a marker behind another character, texts are cut there without
+changing the best path; this is tested when a file is loaded, and texts are not cut if it fails.
+Each distinct part is segmented once in a task: short parts all at once, column by column, long ones
+one by one with a path that is written out as soon as all open paths share it.  The memory for parts
+is bounded, batches are worked through by ``CHUNK`` bytes of text (or one text), and only the ids of
+one text are held whole.  Nothing is shuffled; the trie (a few MB, fixed by the file) is broadcast.
 
 A null or empty text has no tokens.  Null ids are kept.  Repeated rows give repeated results, other
 columns are ignored, an empty table gives an empty result.
@@ -18,30 +25,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-from .textops import trim
+from .textops import row_chunks, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBER = 300_000
+#: Parts that a task remembers, bytes up to which parts are segmented together, bytes of text at a time.
+REMEMBER, SHORT, CHUNK = 300_000, 64, 4 << 20
+
+
+def log_scores(scores: list) -> list:
+    """Log probabilities as they are; merge ranks (all whole numbers) by Zipf's law."""
+    import math
+
+    if any(s != int(s) for s in scores):
+        return scores
+    total = math.log(math.fsum(1 / (1 - s) for s in scores))
+    return [-math.log(1 - s) - total for s in scores]
 
 
 def load_pieces(path: str = MODEL):
-    """[(piece's bytes, score)] of ordinary pieces by id (None for others) and the 256 byte pieces' ids."""
+    """[(piece's bytes, log score)] of ordinary pieces by id (None for others) and the 256 byte pieces' ids."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces: list = []
+    pieces: list = [None] * sp.get_piece_size()
     raw = [0] * 256
-    for i in range(sp.get_piece_size()):
+    plain = []
+    for i in range(len(pieces)):
         text = sp.id_to_piece(i)
         if sp.is_byte(i):
             raw[int(text[3:5], 16)] = i
-        special = sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)
-        pieces.append(None if special else (text.encode(), float(sp.get_score(i))))
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            plain.append((i, text.encode(), float(sp.get_score(i))))
+    for (i, text, _), score in zip(plain, log_scores([x[2] for x in plain])):
+        pieces[i] = (text, score)
     return pieces, raw
 
 
+def may_cut(pieces: list) -> bool:
+    """Whether no piece reaches over a line break or holds a marker behind another character."""
+    texts = [p[0].decode() for p in pieces if p]
+    return not any("\n" in t or MARK in t.lstrip(MARK) for t in texts)
+
+
 def double_array(pieces: list):
     """(base, check, value) arrays; child of state s by byte c is base[s] + c + 1 if check says s."""
     import numpy as np
@@ -94,76 +120,172 @@ class Codec:
     def __init__(self, pieces, raw, trie):
         import re
 
+        import numpy as np
+
+        self.trie = trie
         self.base, self.check, self.value = (x.tolist() for x in trie)
         self.score = [p[1] if p else 0.0 for p in pieces]
+        self.scores = np.array(self.score)
         self.raw = raw
+        self.raws = np.array(raw, np.uint32)
         self.unknown = min(p[1] for p in pieces if p) - 10.0
         mark = MARK.encode()
         self.spell = [p[0].replace(mark, b" ") if p else b"" for p in pieces]
         for c, i in enumerate(raw):
             self.spell[i] = bytes([c])
-        self.parts = re.compile(f" *[^ \n{MARK}]+| +|\n|{MARK}").findall
-        codec = self
-
-        class Known(dict):
-            def __missing__(self, part):
-                import struct
-
-                if len(self) >= REMEMBER:
-                    self.clear()
-                ids = codec.segment(part)
-                self[part] = out = struct.pack(f"<{len(ids)}I", *ids)
-                return out
-
-        self.known = Known()
-
-    def segment(self, part: str) -> list:
-        """Ids of the best segmentation of one part (the earlier-found path wins ties)."""
-        if part == MARK or part == "\n":
-            text = part.encode()
-            if part == MARK:
-                return [self.raw[c] for c in text]
-        text = part.replace(" ", MARK).encode()
-        base, check, value, score = self.base, self.check, self.value, self.score
-        n = len(text)
-        best = [None] * (n + 1)
-        back = [None] * (n + 1)
+        self.parts = re.compile(f" *[^ \n{MARK}]+| +|\n|{MARK}" if may_cut(pieces) else f"[^{MARK}]+|{MARK}")
+        self.width = np.repeat([1, 2, 3, 4], [0xC0, 0x20, 0x10, 0x10])
+        self.known: dict = {}
+
+    def learn(self, lists: list) -> None:
+        """Segments all parts in ``lists`` that are not known yet."""
+        every: set = set()
+        for parts in lists:
+            every.update(parts)
+        new = [p for p in every if p not in self.known]
+        if len(self.known) + len(new) > REMEMBER:
+            self.known, new = {}, every
+        short = []
+        for p in new:
+            text = p.replace(" ", MARK).encode()
+            if p == MARK:
+                self.known[p] = self.raws[list(text)].astype("<u4").tobytes()
+            elif len(text) <= SHORT:
+                short.append((len(text), text, p))
+            else:
+                self.known[p] = self.segment(text)
+        short.sort(key=lambda x: -x[0])
+        for lo in range(0, len(short), 20_000):
+            some = short[lo : lo + 20_000]
+            self.known.update(zip([x[2] for x in some], self.segment_all([x[1] for x in some])))
+
+    def segment_all(self, texts: list) -> list:
+        """Ids of the best segmentation of each of some short byte strings, the longest first."""
+        import numpy as np
+
+        base, check, value = self.trie
+        n, longest = np.array([len(t) for t in texts]), len(texts[0])
+        data = np.frombuffer(b"".join(t.ljust(longest, b"\0") for t in texts), np.uint8).reshape(len(texts), longest).T.astype(np.int32)
+        longer = np.searchsorted(-n, -np.arange(longest + 1), "left")  # texts of more than j bytes come first
+        best = np.full((longest + 1, len(texts)), -np.inf)
         best[0] = 0.0
-        for i in range(n):
-            b = best[i]
+        start = np.zeros((longest + 1, len(texts)), np.int16)
+        piece = np.full((longest + 1, len(texts)), -1, np.int32)
+        for i in range(longest):
+            rows = np.flatnonzero(best[i, : longer[i]] > -np.inf)
+            width = self.width[data[i, rows]]
+            spelt = np.zeros(len(rows), bool)
+            at, state = np.arange(len(rows)), np.zeros(len(rows), np.int32)
+            for j in range(i, longest):
+                who = rows[at]
+                if j > i:
+                    here = who < longer[j]
+                    at, state, who = at[here], state[here], who[here]
+                to = base[state] + data[j, who] + 1
+                ok = check[to] == state
+                at, state, who = at[ok], to[ok], who[ok]
+                if not len(at):
+                    break
+                v = value[state]
+                hit = np.flatnonzero(v >= 0)
+                if len(hit):
+                    v, r, k = v[hit], who[hit], at[hit]
+                    s = best[i, r] + self.scores[v]
+                    spelt[k] |= width[k] == j + 1 - i
+                    up = s > best[j + 1, r]
+                    r = r[up]
+                    best[j + 1, r], start[j + 1, r], piece[j + 1, r] = s[up], i, v[up]
+            lone = np.flatnonzero(~spelt)
+            r, e = rows[lone], i + width[lone]
+            s = best[i, r] + self.unknown
+            up = s > best[e, r]
+            r, e = r[up], e[up]
+            best[e, r], start[e, r], piece[e, r] = s[up], i, -1
+        where, first, end, ids = [], [], n, []
+        row, end = np.arange(len(texts)), n
+        while len(row):
+            where.append(row), first.append(start[end, row].astype(np.int64)), ids.append(piece[end, row])
+            row, end = row[first[-1] > 0], first[-1][first[-1] > 0]
+        where, first, ids = (np.concatenate(x) for x in (where, first, ids))
+        order = np.lexsort((first, where))
+        where, first, ids = where[order], first[order], ids[order]
+        size = np.where(ids >= 0, 1, self.width[data[first, where]])
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        where, first, ids = (np.repeat(x, size) for x in (where, first, ids))
+        ids = np.where(ids >= 0, ids, self.raws[data[first + step * (ids < 0), where]]).astype("<u4").tobytes()
+        cut = np.searchsorted(where, np.arange(len(texts) + 1)) * 4
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def segment(self, text: bytes) -> bytes:
+        """Ids of the best segmentation of one byte string of any length."""
+        from array import array
+
+        base, check, value, score, raw = self.base, self.check, self.value, self.score, self.raw
+        best, back, done = {0: 0.0}, {}, 0
+        out = array("I")
+
+        def settle(ends) -> int:
+            """Writes out what all paths to ``ends`` share; returns where that stops."""
+            ends = set(ends)
+            while len(ends) > 1:
+                far = max(ends)
+                ends.remove(far)
+                ends.add(back[far][0])
+            stop = e = ends.pop()
+            ids: list = []
+            while e > done:
+                i, v = back[e]
+                ids += [v] if v >= 0 else [raw[c] for c in reversed(text[i:e])]
+                e = i
+            out.extend(reversed(ids))
+            return stop
+
+        for i in range(len(text)):
+            b = best.pop(i, None)
             if b is None:
                 continue
             c = text[i]
-            width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+            width = 1 if c < 0xC0 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
             state, single = 0, False
-            for j in range(i, n):
+            for j in range(i, len(text)):
                 t = base[state] + text[j] + 1
                 if check[t] != state:
                     break
                 state = t
                 v = value[t]
                 if v >= 0:
-                    s = b + score[v]
-                    e = j + 1
-                    if e - i == width:
-                        single = True
-                    if best[e] is None or s > best[e]:
+                    s, e = b + score[v], j + 1
+                    single |= e - i == width
+                    if e not in best or s > best[e]:
                         best[e], back[e] = s, (i, v)
             if not single:
                 e, s = i + width, b + self.unknown
-                if best[e] is None or s > best[e]:
+                if e not in best or s > best[e]:
                     best[e], back[e] = s, (i, -1)
-        out: list = []
-        e = n
-        while e:
-            i, v = back[e]
-            out += [v] if v >= 0 else [self.raw[c] for c in reversed(text[i:e])]
-            e = i
-        return out[::-1]
-
-    def encode(self, text: str):
-        """Ids as little-endian 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, self.parts(" " + text))) if text else b""
+            if len(back) > 1 << 16:
+                done = settle(best)
+                back = {e: x for e, x in back.items() if e > done}
+        settle([len(text)])
+        return out.tobytes()
+
+    def encode_all(self, texts: list) -> list:
+        """Ids of each text as little-endian 32-bit integers."""
+        out = []
+        for text in texts:
+            if len(text) <= CHUNK:
+                parts = self.parts.findall(" " + text) if text else []
+                out.append(parts)
+            else:  # its parts are not held all at once
+                found, ids = self.parts.finditer(" " + text), []
+                while some := [m[0] for m, _ in zip(found, range(1 << 18))]:
+                    self.learn([some])
+                    ids.append(b"".join(map(self.known.__getitem__, some)))
+                out.append(b"".join(ids))
+        self.learn([parts for parts in out if not isinstance(parts, bytes)])
+        return [x if isinstance(x, bytes) else b"".join(map(self.known.__getitem__, x)) for x in out]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         """UTF-8 text of the ids: markers become spaces and the one in front goes."""
@@ -179,42 +301,37 @@ def digests(shared, names: list, tokens: bool):
     """Arrow mapper: the last column is the text, the others are kept."""
 
     def run(batches):
-        import gc
         import hashlib
 
         import numpy as np
         import pyarrow as pa
 
         codec = Codec(*shared.value)
-        low = np.array(codec.raw)
         is_raw = np.zeros(len(codec.score), bool)
-        is_raw[low] = True
-        for batch in batches:
-            out = []
-            for text in batch.column(batch.num_columns - 1):
-                text = text.as_py() or ""
-                code = codec.encode(text)
+        is_raw[codec.raws] = True
+        for batch in row_chunks(batches, -1, CHUNK):
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            out, held = [], []
+            for text, code in zip(texts, codec.encode_all(texts)):
                 ids = np.frombuffer(code, "<u4")
                 back = codec.decode(ids.tolist())
-                out.append((len(ids), int(is_raw[ids].sum()), hashlib.sha256(code).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode(), ids.astype(np.int32) if tokens else None))
+                out.append((len(ids), int(is_raw[ids].sum()), hashlib.sha256(code).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+                if tokens:
+                    held.append(ids)
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             cols += [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             if tokens:
-                cols.append(pa.array([r[5] for r in out], pa.list_(pa.int32())))
+                cut = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(held).astype(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, names)
             trim()
-        # the codec and its memory of parts refer to each other; a reused worker would keep them
-        del codec
-        gc.collect()
-        trim()
 
     return run
 
 
 def encode_digest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, tokens: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, n_byte_tokens, ids_sha256, decoded_sha256, round_trip (and token_ids)."""
-    bounded_batches(documents.sparkSession, 4 << 20)
     shared = shared_codec(documents.sparkSession, model)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256", "round_trip"] + ["token_ids"] * tokens

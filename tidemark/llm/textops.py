@@ -16,6 +16,23 @@ def trim() -> None:
         pass
 
 
+def row_chunks(batches, text_at: int, limit: int = 4 << 20):
+    """The same rows in batches of about ``limit`` bytes of text, or one row; bounds a mapper's memory whatever batches Spark sends."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def text_chunks(batches, limit: int = 2 << 20):
     """Yields (ids, offsets, bytes) of whole texts, about ``limit`` bytes at a time.
 
