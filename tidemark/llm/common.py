@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A join side of at most this many rows and bytes may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24 << 20
+#: Parts of a hub's rows in a join that is too large to broadcast.
+SALTS = 32
 #: Stands for a null id inside an operator, so that null ids survive equi-joins.
 NULL_ID = -(1 << 63)
 
@@ -18,10 +20,13 @@ NULL_ID = -(1 << 63)
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (single-machine sessions) a temporary folder stands in.
+    Where the setting is absent, a session on a single machine gets a temporary folder; on a cluster,
+    whose machines would not share one, that is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
@@ -141,22 +146,32 @@ def _forest(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of every vertex of ``edges`` (two long columns a and b).
 
-    Alternating large-star and small-star steps over joins; each round is written to the
-    shared folder.  ``component_id`` is the smallest vertex reachable.  An empty input gives
-    an empty result.  Null ends are not links and must be filtered by the caller.
+    Links become pointers to smaller vertices, (a, b) with b < a.  A round (1) deals the pointers by
+    their larger end and replaces those of a task by the stars of its connected parts, so a vertex with
+    several pointers has one left there, and (2) moves each pointer to a vertex that points on itself one
+    step further.  It ends when every vertex has one pointer, to a vertex without any.
+
+    Before (1) a vertex has at most one pointer from each task, and (2) never deals by the smaller end:
+    the different ends are looked up, and the steps joined with salted keys or broadcast.  So no
+    task takes a hub's pointers.  Each round is written to the shared folder.  ``component_id`` is the
+    smallest vertex reachable.  An empty input gives an empty result.  Null ends are not links and must
+    be filtered by the caller.
     """
-    e = shared_table(edges.where("a <> b").mapInArrow(_forest, "a long, b long"))
-    seen = None
+    schema = "a long, b long"
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forest, schema)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = shared_table(small.select("x.*").where("a <> b").distinct())
-        mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == seen:
+        e = shared_table(e.repartition(parts, "a").mapInArrow(_forest, schema))
+        least = e.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n"))
+        ends = e.select(F.col("b").alias("a")).distinct()
+        steps = shared_table(ends.join(least, "a").select(F.col("a").alias("b"), F.col("b").alias("c")))
+        far = steps.count()
+        if not far and not least.where("n > 1").limit(1).count():
             break
-        seen = mark
+        if far <= BROADCAST_ROWS:
+            moved = e.join(F.broadcast(steps), "b", "left")
+        else:
+            salted = steps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            moved = e.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(salted, ["b", "salt"], "left")
+        e = moved.select("a", F.coalesce("c", "b").alias("b")).mapInArrow(_forest, schema)
     return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(e.select("b", "b").distinct())

@@ -2,19 +2,25 @@
 
 Vectors of cosine c or more are, at unit length, within squared distance 2 - 2c.  After a rotation
 the coordinates are split into ``blocks`` low-dimensional subspaces; in one of them at least the
-squared distance is within the proportional budget (2 - 2c) / blocks.  Each subspace is range-joined by itself:
-vectors go to the cell of the nearest pivot and visit each later cell that their ball can
-reach, and a cell compares its residents with all that it holds.  What is within budget there
-is verified by the cosine of the original vectors in double precision.  A verified pair counts in
-the first subspace that has it within budget, so the union needs no list of pairs.
+squared distance is within the proportional budget (2 - 2c) / blocks.  Each subspace is range-joined by
+itself: vectors go to the cell of the nearest pivot and visit each later cell that their ball can
+reach, and a cell compares its residents with all that it holds.
 
-Equal vectors are collapsed first.  Pivots come from a bounded sample; they decide only where work
-is done, never what is found.  The sample also tells which cells will be crowded; these are cut
-into tiles.  Only counts and a spanning forest leave a cell.
+The range join is dealt rotated coordinates of one byte each.  With the rounding allowed for, they
+rule out pairs that are too far apart in the subspace or as a whole, and pairs that an earlier
+subspace has for certain.  The vectors that are left over in a cell are fetched, and their pairs are
+verified by the cosine of the original vectors in double precision.  A verified pair counts in the
+first subspace that has it within budget (by rounding none may: then in its closest one), so the
+union needs no list of pairs.  Only counts and a spanning forest leave a cell.
+
+Equal vectors (by a 128-bit hash) are collapsed first; their numbers follow the order of their
+smallest ids.  Pivots come from a bounded sample; they decide only where work is done, never what is
+found.  The sample also tells which cells will be crowded; these are cut into tiles.
 
 Null, zero or non-finite vectors link with nothing, and vectors of different lengths are not
-compared.  A null id is a row of its own that sorts first.  Rows that repeat an id and a vector are
-one vector with one result each.  Other columns are ignored; an empty table gives an empty result.
+compared.  Rows that repeat an id and a vector are one vector with one result each; different
+vectors under one id are each a vector.  A null id sorts first and is an id as any other.  Other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +28,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, pack, shared_table, unpack
+from .common import NULL_ID, components, pack, shared_table, stacked
 
 SLACK = 1e-9
+#: Coordinates are rounded to multiples of 1 / STEPS; a vector's distance from its rounded self in one dimension.
+STEPS = 127
+ROUNDING = 0.5 / STEPS
+TILE = ["dim", "space", "cell", "low", "high"]
 
 
 def subspaces(dim: int, blocks: int) -> list:
@@ -42,8 +52,10 @@ def rotation(dim: int):
 
 
 def unit(x):
+    """Rows at unit length; scaled first, so that squares neither overflow nor vanish."""
     import numpy as np
 
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -54,62 +66,122 @@ def distances(a, b):
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
 
 
+def by_length(batch, at: int):
+    """(row numbers, matrix) of the vectors of each length."""
+    import numpy as np
+    import pyarrow as pa
+
+    vectors = batch.column(at)
+    sizes = vectors.value_lengths().to_numpy()
+    for dim in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == dim)
+        yield mine, vectors.take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), dim)
+
+
+def visits(z, pivots):
+    """(row, cell, is it at home) of the cells that each row's ball of the given radius reaches."""
+    import numpy as np
+
+    p, radius = pivots
+    apart = np.sqrt(distances(p, p))
+    step = max(16, (1 << 22) // len(p))
+    for lo in range(0, len(z), step):
+        d = distances(z[lo : lo + step], p)
+        home = d.argmin(1)
+        rows = np.arange(len(d))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = np.where(apart[home] > 1e-6, (d - d[rows, home][:, None]) / (2 * apart[home]), 0)  # equal pivots are all visited
+        row, cell = np.nonzero((beyond <= radius + 1e-6) & (np.arange(len(p))[None, :] >= home[:, None]))
+        yield row + lo, cell, home[row] == cell
+
+
 def deal(shared, blocks: int, cosine: float):
-    """Arrow mapper: (id, weight, vector) to (cell, tile, packed vectors)."""
+    """Arrow mapper: (key, vector) to (tile, packed rounded vectors)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         pivots, tiles = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            vectors = batch.column(2)
-            sizes = vectors.value_lengths().to_numpy()
-            out = []
-            for dim in np.unique(sizes).tolist():
-                mine = np.flatnonzero(sizes == dim)
-                raw = vectors.take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), dim)
-                z = unit(raw.astype(np.float64)) @ rotation(dim)
+        names = [*TILE, "block"]
+        for batch in (b.slice(i, 4000) for b in batches for i in range(0, b.num_rows, 4000)):
+            keys = batch.column(0).to_numpy()
+            for mine, x in by_length(batch, 1):
+                dim = x.shape[1]
+                z = unit(x.astype(np.float64)) @ rotation(dim)
+                rounded = np.rint(z * STEPS).astype(np.int8)
                 parts = subspaces(dim, blocks)
                 radius = np.sqrt((2 - 2 * cosine) / len(parts)) + SLACK
+                key, out = keys[mine], []
                 for b, s in enumerate(parts):
                     p = pivots[dim][:, s] if dim in pivots else np.zeros((1, s.stop - s.start))
-                    d = distances(z[:, s], p)
-                    home = d.argmin(1)
-                    near = d[np.arange(len(d)), home]
-                    apart = np.sqrt(distances(p, p))[home]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        beyond = np.where(apart > 0, (d - near[:, None]) / (2 * apart), np.inf)
-                    beyond[np.arange(len(d)), home] = 0
-                    # equal pivots: the first is home, the others stay empty
-                    visit = (beyond <= radius + 1e-6) & (np.arange(len(p))[None, :] >= home[:, None])
-                    row, cell = np.nonzero(visit)
-                    many = tiles.get((dim, b), np.ones(len(p), np.int64))[cell]
-                    part = ids[mine][row] * 0x9E3779B1 % (1 << 31) % many
-                    for k in range(int(many.max())):  # a vector meets every other part of its cell in one tile
-                        go = np.flatnonzero(k < many)
-                        lo, hi = np.minimum(part[go], k), np.maximum(part[go], k)
-                        key = ((np.int64(dim) << 8 | b) << 20 | cell[go]) << 20 | lo << 10 | hi
-                        out.append((key, mine[row[go]], part[go], home[row[go]] == cell[go]))
-            key, row, part, resident = (np.concatenate(x) for x in zip(*out))
-            order = np.argsort(key, kind="stable")
-            key, row, part, resident = (x[order] for x in (key, row, part, resident))
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            rows = []
-            flat, start = vectors.flatten().to_numpy(), np.cumsum(sizes) - sizes
-            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
-                r = row[lo:hi]
-                dim = int(sizes[r[0]])
-                x = flat[start[r][:, None] + np.arange(dim)]
-                rows.append((int(key[lo]), pack([ids[r], weight[r], part[lo:hi].astype(np.int32), resident[lo:hi].astype(np.uint8), x.ravel()])))
-                if len(rows) == 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["tile", "block"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["tile", "block"])
+                    cut = tiles.get((dim, b), np.ones(len(p), np.int64))
+                    for row, cell, resident in visits(z[:, s], (p, radius)):
+                        many = cut[cell]
+                        part = key[row] * 0x9E3779B1 % (1 << 31) % many
+                        for k in range(int(many.max()) if len(many) else 0):  # a vector meets every other part of its cell in one tile
+                            go = np.flatnonzero(k < many)
+                            out.append((np.full(len(go), b), cell[go], np.minimum(part[go], k), np.maximum(part[go], k), row[go], part[go], resident[go]))
+                b, cell, low, high, row, part, resident = (np.concatenate(c) for c in zip(*out))
+                order = np.lexsort((row, high, low, cell, b))
+                tile = np.stack([b, cell, low, high], 1)[order]
+                row, part, resident = row[order], part[order], resident[order]
+                new = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(1)])
+                rows = [pack([key[r], part[i:j].astype(np.int32), resident[i:j].astype(np.uint8), rounded[r].ravel()]) for i, j in zip(new.tolist(), [*new[1:].tolist(), len(row)]) for r in [row[i:j]]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), dim, np.int32)), *(pa.array(tile[new, k].astype(np.int32)) for k in range(4)), pa.array(rows, pa.binary())], names)
+
+    return run
+
+
+def meets(home, part, resident, cut: bool, h):
+    """Which pairs of rows h and all rows a tile is to compare."""
+    import numpy as np
+
+    out = (resident == 0)[None, :] | (np.arange(len(resident))[None, :] > h[:, None])
+    return out & (part[h][:, None] != part[None, :]) if cut else out
+
+
+def left_over(blocks: int, cosine: float):
+    """Group function over one tile: the rows (tile, key, part, resident) that may have a partner in it."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        dim, b, cell, low, high = (table.column(c)[0].as_py() for c in TILE)
+        key, part, resident, q = stacked(table.column("block").to_pylist(), 4, [np.int64, np.int32, np.uint8, np.int8])
+        order = np.argsort(key, kind="stable")
+        key, part, resident, q = key[order], part[order], resident[order], q.reshape(-1, dim)[order]
+        parts = subspaces(dim, blocks)
+        near = np.sqrt((2 - 2 * cosine) / len(parts))
+        off = [2 * ROUNDING * np.sqrt(s.stop - s.start) + 1e-5 for s in parts]
+        whole = (np.sqrt(2 - 2 * cosine) + 2 * ROUNDING * np.sqrt(dim) + 1e-5) ** 2
+        z = q.astype(np.float32) / STEPS
+        found = np.zeros(len(key), bool)
+        home = np.flatnonzero(resident == 1)
+        for at in range(0, len(home), 256):
+            h = home[at : at + 256]
+            ok = distances(z[h][:, parts[b]], z[:, parts[b]]) <= (near + off[b]) ** 2
+            ok &= meets(home, part, resident, low != high, h)
+            if ok.mean() > 0.02:  # a crowd: whole matrices are cheaper than lists of pairs
+                ok &= distances(z[h], z) <= whole + 1e-4
+                for e in range(b):
+                    ok &= ~(distances(z[h][:, parts[e]], z[:, parts[e]]) <= max(near - off[e], 0) ** 2 - 1e-4)
+                found[h[ok.any(1)]] = True
+                found |= ok.any(0)
+                continue
+            i, j = np.nonzero(ok)
+            i = h[i]
+            for lo in range(0, len(i), 100_000):
+                a, c = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                gap = np.add.reduceat((z[a] - z[c]) ** 2, [s.start for s in parts], axis=1)
+                keep = gap.sum(1) <= whole
+                for e in range(b):
+                    keep &= ~(gap[:, e] <= max(near - off[e], 0) ** 2)
+                found[a[keep]] = found[c[keep]] = True
+        r = np.flatnonzero(found)
+        tile = [pa.array(np.full(len(r), v, np.int32)) for v in (dim, b, cell, low, high)]
+        return pa.Table.from_arrays([*tile, pa.array(key[r]), pa.array(part[r]), pa.array(resident[r].astype(np.int32))], [*TILE, "key", "part", "resident"])
 
     return run
 
@@ -130,82 +202,100 @@ def forest(i, j, n: int):
         label = new
 
 
-def compare(blocks: int, cosine: float, rows: int = 512):
-    """Group function over one tile: (kind 0: id, links) and (kind 1: link of a spanning forest)."""
+def verify(blocks: int, cosine: float):
+    """Group function over what is left of one tile: (kind 0: key, links) and (kind 1: link of a spanning forest)."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        key = table.column("tile")[0].as_py()
-        dim, b, lo_part, hi_part = key >> 48, key >> 40 & 0xFF, key >> 10 & 0x3FF, key & 0x3FF
-        got = [unpack(x.as_py()) for x in table.column("block")]
-        ids, weight, part, resident, x = (np.concatenate([g[i] for g in got]) for i in range(5))
-        order = np.argsort(ids, kind="stable")
-        ids, weight, part, resident = (a[order] for a in (ids, weight, part, resident))
-        x = x.reshape(len(ids), dim)[order].astype(np.float64)
-        norm = np.sqrt((x * x).sum(1))
+        dim, b, low, high = (table.column(c)[0].as_py() for c in ("dim", "space", "low", "high"))
+        key, weight, part, resident = (table.column(c).to_numpy() for c in ("key", "weight", "part", "resident"))
+        x = np.array(table.column("vector").combine_chunks().flatten().to_numpy(), np.float64).reshape(len(key), dim)
+        order = np.argsort(key, kind="stable")
+        key, weight, part, resident, x = key[order], weight[order], part[order], resident[order], x[order]
+        u = unit(x)
+        z = u @ rotation(dim)
         parts = subspaces(dim, blocks)
-        z = unit(x) @ rotation(dim)
         budget = (2 - 2 * cosine) / len(parts)
-        first = [s.start for s in parts]
         home = np.flatnonzero(resident == 1)
-        links, left, right = np.zeros(len(ids), np.int64), [], []
+        links, up = np.zeros(len(key), np.int64), np.arange(len(key))
+        rows = max(1, min(256, (1 << 20) // len(key)))
         for at in range(0, len(home), rows):
             h = home[at : at + rows]
-            near = distances(z[h, parts[b]], z[:, parts[b]]) <= budget + SLACK
-            near &= (resident == 0)[None, :] | (np.arange(len(ids))[None, :] > h[:, None])
-            if lo_part != hi_part:
-                near &= part[h][:, None] != part[None, :]
-            i, j = np.nonzero(near)
-            i = h[i]
-            for lo in range(0, len(i), 200_000):
-                a, c = i[lo : lo + 200_000], j[lo : lo + 200_000]
-                a, c = (v[np.einsum("ij,ij->i", x[a], x[c]) / (norm[a] * norm[c]) >= cosine] for v in (a, c)) if len(a) else (a, c)
-                gap = np.add.reduceat((z[a] - z[c]) ** 2, first, axis=1) <= budget
-                gap[:, b] |= ~gap.any(1)
-                mine = gap.argmax(1) == b
-                a, c = a[mine], c[mine]
-                links += np.bincount(a, weight[c], len(ids)).astype(np.int64) + np.bincount(c, weight[a], len(ids)).astype(np.int64)
-                left.append(a)
-                right.append(c)
-        label = forest(np.concatenate(left), np.concatenate(right), len(ids)) if left else np.arange(len(ids))
-        some, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"kind": pa.array(np.r_[np.zeros(len(some)), np.ones(len(moved))].astype(np.int32)), "a": pa.array(np.r_[ids[some], ids[moved]]), "b": pa.array(np.r_[links[some], ids[label[moved]]])})
+            cos = u[h] @ u.T
+            near = (cos >= cosine - 1e-12) & meets(home, part, resident, low != high, h)
+            a, c = np.nonzero(near & (cos < cosine + 1e-12))  # too close to tell: by the plain formula
+            if len(a):
+                p, r = x[h[a]], x[c]
+                near[a, c] = np.einsum("ij,ij->i", p, r) / (np.sqrt(np.einsum("ij,ij->i", p, p)) * np.sqrt(np.einsum("ij,ij->i", r, r))) >= cosine
+            within = lambda e: distances(z[h][:, parts[e]], z[:, parts[e]]) <= budget
+            for e in range(b):
+                near &= ~within(e) if near.any() else False
+            if not near.any():
+                continue
+            mine = within(b)
+            none = near & ~mine
+            for e in range(b + 1, len(parts)):
+                none &= ~within(e) if none.any() else False
+            near &= mine
+            a, c = np.nonzero(none)  # no subspace has them by rounding: the closest counts
+            if len(a):
+                near[a, c] = np.add.reduceat((z[h[a]] - z[c]) ** 2, [s.start for s in parts], axis=1).argmin(1) == b
+            links[h] += (near * weight[None, :]).sum(1)
+            links += (near * weight[h][:, None]).sum(0)
+            a, c = np.nonzero(near)
+            if len(a):
+                up = forest(np.r_[h[a], np.arange(len(key))], np.r_[c, up], len(key))
+        some, moved = np.flatnonzero(links), np.flatnonzero(up != np.arange(len(key)))
+        return pa.table({"kind": pa.array(np.r_[np.zeros(len(some)), np.ones(len(moved))].astype(np.int32)), "a": pa.array(np.r_[key[some], key[moved]]), "b": pa.array(np.r_[links[some], key[up[moved]]])})
 
     return run
 
 
-def pivots_of(classes: DataFrame, n: int, blocks: int, cosine: float, per_cell: int, sample: int):
+def pivots_of(vectors: DataFrame, n: int, blocks: int, per_cell: int, per_tile: int, sample: int):
     """({dimension: pivots}, {(dimension, block): tiles of each cell}) from a bounded sample."""
     import numpy as np
 
-    rows = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
+    rows = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("vector").collect()
     pivots, tiles = {}, {}
     for dim in sorted({len(r.vector) for r in rows}):
         z = unit(np.array([r.vector for r in rows if len(r.vector) == dim], np.float64)) @ rotation(dim)
-        want = int(min(1024, max(1, n // per_cell)))
+        want = min(len(z), max(1, n // per_cell))
         pivots[dim] = z[:want]
         for b, s in enumerate(subspaces(dim, blocks)):
-            home = distances(z[:, s], z[:want][:, s]).argmin(1)
-            there = np.bincount(home, minlength=len(z[:want])) * (n / len(rows))
-            tiles[dim, b] = np.clip(np.ceil(there / (4 * per_cell)), 1, 1000).astype(np.int64)
+            home = np.concatenate([distances(z[i : i + 512, s], z[:want][:, s]).argmin(1) for i in range(0, len(z), 512)])
+            there = np.bincount(home, minlength=want) * (n / len(rows))
+            tiles[dim, b] = np.maximum(np.ceil(there / per_tile), 1).astype(np.int64)
     return pivots, tiles
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, per_cell: int = 800, sample: int = 4096) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id (smallest id reachable), kept."""
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, per_cell: int = 1000, per_tile: int = 20_000, sample: int = 4096) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id (smallest id reachable), kept.
+
+    ``per_cell`` vectors a pivot are aimed at (a pivot is one of the ``sample``), tiles of at most about ``per_tile`` residents.
+    """
     spark = vectors.sparkSession
-    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(vector_col).alias("vector"))
     usable = F.expr("vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(vector, x -> x <> 0)")
-    classes = shared_table(rows.where(F.coalesce(usable, F.lit(False))).groupBy("vector").agg(F.min("id").alias("id"), F.count_distinct("id").alias("weight")).select("id", "weight", "vector"))
-    n = classes.count()
-    shared = spark.sparkContext.broadcast(pivots_of(classes, n, blocks, cosine, per_cell, sample))
-    dealt = classes.mapInArrow(deal(shared, blocks, cosine), "tile long, block binary")
-    found = shared_table(dealt.groupBy("tile").applyInArrow(compare(blocks, cosine), "kind int, a long, b long"))
-    links = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
+    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(vector_col).alias("vector"))
+    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
+    hashed = rows.select("id", *(F.when(F.col("ok"), F.xxhash64("vector", F.lit(k))).alias(f"h{k}") for k in (1, 2)), "vector")
+    distinct = shared_table(hashed.where("h1 IS NOT NULL").groupBy("id", "h1", "h2").agg(F.first("vector").alias("vector")))
+    classes = distinct.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    classes = shared_table(classes.orderBy("id", "h1", "h2").withColumn("key", F.monotonically_increasing_id()))
+    one = shared_table(distinct.join(classes, ["id", "h1", "h2"]).select("key", "weight", "vector"))
+    n = one.count()
+    shared = spark.sparkContext.broadcast(pivots_of(one, n, blocks, per_cell, per_tile, sample))
+    ints = lambda names: ", ".join(f"{c} int" for c in names)
+    dealt = one.select("key", "vector").mapInArrow(deal(shared, blocks, cosine), ints(TILE) + ", block binary")
+    left = shared_table(dealt.groupBy(*TILE).applyInArrow(left_over(blocks, cosine), ints(TILE) + ", key long, part int, resident int"))
+    found = shared_table(left.join(one, "key").groupBy(*TILE).applyInArrow(verify(blocks, cosine), "kind int, a long, b long"))
+    links = found.where("kind = 0").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("links"))
     class_of = components(found.where("kind = 1").select("a", "b"))
-    known = classes.join(links, "id", "left").join(class_of, "id", "left").select("vector", F.col("weight"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.join(known, "vector", "left").select("id", F.coalesce(F.col("weight") - 1 + F.col("links"), F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    names = classes.select(F.col("key").alias("component"), F.col("id").alias("component_id"))
+    known = classes.join(links, "key", "left").join(class_of.select(F.col("id").alias("key"), F.col("component_id").alias("component")), "key", "left")
+    known = known.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links"), F.coalesce("component", "key").alias("component"))
+    known = known.join(names, "component").select("h1", "h2", "n_links", "component_id")
+    out = hashed.select("id", "h1", "h2").join(known, ["h1", "h2"], "left").select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(null("id").alias("vec_id"), "n_links", null("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
