@@ -1,18 +1,19 @@
 import zipfile
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.plans import report
 from tidemark.sources import nav_files, prices
 from tidemark.sources.universe import ConfigError, load_universe
 
 GOOD = """
 sample: {start: 2018-01-02, end: null}
 funds:
-  - {ticker: AAA, name: A, sleeve: em_debt, issuer: X, foreign_session: true, outlier_band_bps: 300, role: primary}
-  - {ticker: BBB, name: B, sleeve: em_equity, issuer: X, foreign_session: false, outlier_band_bps: 100, role: control}
+  - {ticker: AAA, name: A, sleeve: debt_em, issuer: X, foreign_session: true, outlier_band_bps: 300, role: primary}
+  - {ticker: BBB, name: B, sleeve: equity_em, issuer: X, foreign_session: false, outlier_band_bps: 100, role: control}
 """
 
 
@@ -20,14 +21,19 @@ def test_universe(spark, tmp_path):
     f = tmp_path / "u.yaml"
     f.write_text(GOOD)
     u = load_universe(f)
-    assert u.tickers == ["AAA", "BBB"] and [x.ticker for x in u.primary] == ["AAA"] and len(u) == 2 and u["BBB"].is_control
-    assert u.start == date(2018, 1, 2) and u.end_or_today == date.today() and u.frame(spark).count() == 2
-    with pytest.raises(KeyError):
-        u["ZZZ"]
+    assert list(u.rows) == ["AAA", "BBB"] and [r.ticker for r in u.primary(spark).collect()] == ["AAA"] and u.rows["BBB"]["role"] == "control"
+    assert u.start == date(2018, 1, 2) and u.end == date.today() and u.frame(spark).count() == 2
     for a, b in (("role: control", "role: other"), ("foreign_session: true", "foreign_session: 1"), ("300", "-1"), ("300", "true"), ("BBB", "AAA"), ("issuer: X, ", ""), ("start: 2018-01-02", "start: soon"), ("end: null", "end: 2017-01-01"), ("sample:", "smpl:")):
         f.write_text(GOOD.replace(a, b, 1))
         with pytest.raises(ConfigError):
             load_universe(f)
+    f.write_text(GOOD.replace("300", "-1").replace("role: control", "role: other"))
+    with pytest.raises(ConfigError, match="fund 0 .*; fund 1 "):
+        load_universe(f)
+    for bad in ("[]", "sample: {start: 2018-01-02}\nfunds: []", "sample: {start: 2018-01-02}\nfunds: [1]", "sample: x\nfunds: [1]"):
+        f.write_text(bad)
+        with pytest.raises(ConfigError):
+            load_universe(f)
     with pytest.raises(ConfigError):
         load_universe(tmp_path / "none.yaml")
 
@@ -83,3 +89,64 @@ def test_nav_files(spark, tmp_path):
     (d / "ddd.csv").write_text("<!DOCTYPE html><html></html>")
     with pytest.raises(Exception, match="web page"):
         nav_files.read_nav_files(spark, str(d), "ddd*").collect()
+
+
+@pytest.mark.parametrize("names", [("As Of", "NAV per Share"), ("As Of Date", "NAV ($)"), ("AsOf", "NAV per Share ($)"), ("Trade Date", "NAV per share (USD)"), ("Record Date", "Net Asset Value"), ("NAV Date", "Net Asset Value per Share"), ("Date", "Closing NAV"), ("date", "nav")])
+def test_header_names(names):
+    rows = [["Fund"], [f' "{names[0]}"', f"{names[1]}  "], ["2024-01-02", "1"]]
+    assert nav_files.table_rows(rows)[1] == [["2024-01-02", "1"]]
+    assert nav_files.table_rows([["Pricing Date", "NAV"]]) is None and nav_files.table_rows([["Date", "NAV/Share"]]) is None
+
+
+def test_entities_and_dates(spark, tmp_path):
+    rows = nav_files.spreadsheetml_sheets(sheet([["><Data>R&amp;D &nbsp;&style=All &#65;</Data>"]]).replace("R & D", "Historical"))
+    assert list(rows) == [("Historical", [["R&D &nbsp;&style=All A"]])]
+    raw = ["2018-01-02T00:00:00", "2018-01-02T00:00:00.000", "January 2, 2018", "2 January 2018", "Jan 02, 2018", "2018/1/2", "1/2/2018", "2018-01-02 00:00:00"]
+    got = spark.createDataFrame([(r,) for r in raw], "r string").select(T.mixed_date(F.col("r"))).collect()
+    assert {str(g[0]) for g in got} == {"2018-01-02"}
+
+
+def workbook(path, styles=True):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main}><sheets><sheet name="About" sheetId="1"/><sheet name="Historical" sheetId="2"/></sheets></workbook>')
+        if styles:
+            z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="&quot;day&quot; yyyy\\-mm"/><numFmt numFmtId="165" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        cell = lambda ref, v, s=0: f'<c r="{ref}" s="{s}"><v>{v}</v></c>'
+        text = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row>{text("A1", "about")}</row></sheetData></worksheet>')
+        body = f'<row>{text("A1", "Date")}{text("B1", "NAV")}{text("C1", "Ex-Dividends")}</row><row>{cell("A2", 43102, 1)}{cell("B2", 43102, 3)}{text("C2", "--")}</row><row>{cell("A3", 43103.5, 2)}{cell("B3", 81.5)}{text("C3", "0.2")}</row>'
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_workbook_dates_and_ex_dates(spark, tmp_path):
+    workbook(tmp_path / "abc.xlsx")
+    sheets = dict(nav_files.xlsx_sheets((tmp_path / "abc.xlsx").read_bytes()))
+    assert [r[:2] for r in sheets["Historical"][1:]] == [["2018-01-02", "43102"], ["2018-01-03T12:00:00", "81.5"]]
+    days = nav_files.ex_dates(spark, str(tmp_path)).collect()
+    assert [(r.ticker, str(r.date)) for r in days] == [("ABC", "2018-01-03")]
+    with pytest.raises(Exception, match="no row names both"):
+        nav_files.ex_dates(spark, str(tmp_path), sheet="About").collect()
+
+
+def test_load_nav_file(spark, tmp_path):
+    body = "Fund\n\nInception,2001\n\"As Of\",\"NAV per Share\"\n" + "".join(f'"{(date(2018, 1, 2) + timedelta(i)).strftime("%b %d, %Y")}","80.00"\n' for i in range(1200)) + "Disclaimer,\n"
+    (tmp_path / "hyg.csv").write_text(body)
+    assert nav_files.load_nav_file(spark, str(tmp_path)).groupBy("ticker").count().first()[:] == ("HYG", 1200)
+    assert nav_files.load_nav_file(spark, str(tmp_path / "hyg.csv")).agg(F.min("date")).first()[0] == date(2018, 1, 2)
+    for missing in ("none.csv", "none"):
+        with pytest.raises(nav_files.NavFileError, match="no file"):
+            nav_files.load_nav_file(spark, str(tmp_path / missing)).collect()
+
+
+def test_report_files(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1.23456, 7)], "ticker string, x double, n long")
+    report.write_csv(df, str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("*.csv")
+    assert part.read_text() == "ticker,x,n\nA,1.2346,7\n"
+    q = spark.createDataFrame([("A", 2185, 48, 2.19679, 3, 0.1373, 4, 500.0)], "ticker string, n_obs long, n_stale long, pct_stale double, n_extreme long, pct_extreme double, longest_run long, band_bps double")
+    assert report.as_lines(q, "quality").first().line == "A: n=2185 stale_nav=48 (2.20%) extreme>500bps=3 (0.14%) longest_nav_run=4"
+    assert report.as_rows(q, "quality").first().asDict() == {"ticker": "A", "n_obs": 2185, "n_stale_nav": 48, "pct_stale": 2.197, "n_extreme_premium": 3, "pct_extreme": 0.137, "longest_nav_run": 4, "band_bps": 500.0}
+    d = spark.createDataFrame([("A", "nav", 0.92, 18.2, 0.14, 0.006, True, True)], "ticker string, target string, slope double, t_stat double, r2 double, placebo_r2 double, external boolean, is_price_discovery boolean")
+    assert report.as_lines(d, "discovery").first().line == "A->nav: slope +0.92 t=+18.2 R2=0.140 (placebo 0.006) [external] leads the target"
+    assert report.as_rows(d, "discovery").first().price_discovery

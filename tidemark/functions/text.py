@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Date patterns that issuer files use, tried in this order; fixed values.
-DATE_PATTERNS = ["yyyy-MM-dd", "MMM d, yyyy", "MMM dd, yyyy", "M/d/yyyy", "d-MMM-yyyy", "yyyyMMdd"]
+DATE_PATTERNS = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss", "MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy", "M/d/yyyy HH:mm:ss", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy/M/d", "yyyyMMdd"]
 
 
 def header(c: Column) -> Column:

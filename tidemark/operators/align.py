@@ -13,8 +13,13 @@ def window_filter(df: DataFrame, start: str | None = None, end: str | None = Non
     return df if end is None else df.where(F.col("date") <= F.lit(end).cast("date"))
 
 
-def align_price_nav(prices: DataFrame, navs: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows whose key and date are on both sides, without rows whose close or nav is missing."""
+def align_price_nav(prices: DataFrame, navs: DataFrame, start: str | None = None, end: str | None = None, check: bool = True) -> DataFrame:
+    """Rows whose key and date are on both sides, without rows whose close or nav is missing.
+
+    ``check`` refuses keys with an empty side or without a common date, by one aggregate beforehand.
+    """
+    if check:
+        check_aligned(alignment_report(alignment_rows(prices, navs, start, end)))
     both = window_filter(prices, start, end).join(window_filter(navs, start, end), ["ticker", "date"])
     return both.dropna(subset=["close", "nav"])
 
@@ -53,7 +58,8 @@ def alignment_report(rows: DataFrame, dates: bool = False) -> DataFrame:
 
 
 def check_aligned(report: DataFrame) -> None:
-    """Refuses keys with an empty side, without a common date, or with nothing left."""
-    bad = report.where("n_price = 0 OR n_nav = 0 OR n_aligned = 0").select("ticker").limit(5).collect()
-    if bad:
-        raise ValueError(f"nothing to align for {', '.join(r.ticker for r in bad)}")
+    """Refuses keys with an empty side or without a common date, and a report without keys."""
+    common = F.col("n_aligned") + F.col("n_dropped_na")
+    r = report.agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.when((F.col("n_price") == 0) | (F.col("n_nav") == 0) | (common == 0), F.col("ticker")))), 1, 5).alias("bad")).first()
+    if not r.n or r.bad:
+        raise ValueError(f"prices and published values share no dates: {', '.join(map(str, r.bad)) or 'no rows at all'}")

@@ -6,9 +6,13 @@ partitioning.  Pairs of consecutive values are resampled, never values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import clean
+
 from .reversion import half_life, pairs
 
 #: Pairs up to which a panel is sent to all tasks.
@@ -38,14 +42,22 @@ def stationary_indices(sizes: DataFrame, n_boot: int, seed: int = 0, block: floa
     return rows.select("ticker", "rep", (F.col("i") + F.col("off")).alias("i"), ((F.col("start") + F.col("off")) % F.col("m")).alias("idx"))
 
 
-def bootstrap_interval(df: DataFrame, value: str = "x", n_boot: int = 2000, level: float = 0.95, block: float | None = None, seed: int = 0, least: int = 20) -> DataFrame:
-    """Per key: lower, upper, n_valid; undefined if fewer than half of the replicates have a half-life."""
+def fitted_half_life(x: Column, y: Column) -> Column:
+    """An aggregate: the half-life of the slope of y on x."""
+    return half_life(F.regr_slope(y, x))
+
+
+def bootstrap_interval(df: DataFrame, value: str = "x", n_boot: int = 2000, level: float = 0.95, block: float | None = None, seed: int = 0, least: int = 20, statistic: Callable[[Column, Column], Column] = fitted_half_life) -> DataFrame:
+    """Per key: lower, upper, n_valid of a statistic of pairs; undefined if fewer than half of the replicates have a finite value.
+
+    ``statistic`` makes an aggregate of the columns of a replicate's pairs (value before, value).
+    """
     p = pairs(df, value).withColumn("idx", (F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1).cast("long")).persist()  # read by three branches
     sizes = p.groupBy("ticker").agg(F.count("*").alias("m")).where(F.col("m") + 1 >= least)
     drawable = p.select("ticker", "idx", "x", "y")
     drawable = F.broadcast(drawable) if p.count() <= FEW else drawable  # n_boot times as many positions stay where they are
     drawn = stationary_indices(sizes, n_boot, seed, block).join(drawable, ["ticker", "idx"])
-    reps = drawn.groupBy("ticker", "rep").agg(F.regr_slope("y", "x").alias("b")).withColumn("h", half_life(F.col("b")))
+    reps = drawn.groupBy("ticker", "rep").agg(clean(statistic(F.col("x"), F.col("y")).cast("double")).alias("h"))
     out = reps.groupBy("ticker").agg(F.count("h").alias("n_valid"), F.percentile("h", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
     ok = F.col("n_valid") >= 0.5 * n_boot
     return out.select("ticker", "n_valid", F.when(ok, F.col("q")[0]).alias("lower"), F.when(ok, F.col("q")[1]).alias("upper"))

@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flags import by_date
-from .premium import BPS, require
+from .premium import BPS, refuse, require
 
 
 def high_low_spread(high: str = "high", low: str = "low", close: str | None = None, clip: bool = False) -> Column:
-    """Corwin-Schultz spread of each day and the day before; day two moves by the overnight gap if ``close`` is given."""
+    """Corwin-Schultz spread of each day and the day before; day two moves by the overnight gap if ``close`` is given.
+
+    Rows whose high is below the low, or whose prices are not positive, are refused.
+    """
+    bad = (F.col(high) < F.col(low)) | (F.col(high) <= 0) | (F.col(low) <= 0)
+    h2, l2 = refuse(bad, "impossible high and low", F.col(high)), F.col(low)
     h1, l1 = F.lag(high).over(by_date()), F.lag(low).over(by_date())
-    h2, l2 = F.col(high), F.col(low)
     if close is not None:
         before = F.lag(close).over(by_date())
         gap = F.coalesce(F.greatest(before - h2, F.lit(0.0)) - F.greatest(l2 - before, F.lit(0.0)), F.lit(0.0))
@@ -28,18 +32,14 @@ def high_low_spread(high: str = "high", low: str = "low", close: str | None = No
     return F.when(spread.isNotNull(), F.greatest(spread, F.lit(0.0))) if clip else spread
 
 
-def check_range(df: DataFrame) -> None:
-    """Refuses rows whose high is below the low or whose prices are not positive."""
-    n = df.where("high < low OR high <= 0 OR low <= 0").count()
-    if n:
-        raise ValueError(f"{n} rows have an impossible high and low")
-
+def profile_liquidity(df: DataFrame, digits: int | None = None) -> DataFrame:
+    """Per key: dollar volume, spread in bps unclipped and clipped, share of negative estimates, median daily range.
 
-def profile_liquidity(df: DataFrame) -> DataFrame:
-    """Per key: dollar volume, spread in bps unclipped and clipped, share of negative estimates, median daily range."""
+    ``digits`` rounds spreads first, so that two engines agree on which are below zero.
+    """
     require(df, "high", "low", "close", "volume")
-    # twelve digits: a spread of zero must not become negative by rounding errors
-    rows = df.withColumn("spread", F.round(high_low_spread(close="close"), 12)).withColumn("dollars", F.col("close") * F.col("volume"))
+    spread = high_low_spread(close="close")
+    rows = df.withColumn("spread", spread if digits is None else F.round(spread, digits)).withColumn("dollars", F.col("close") * F.col("volume"))
     out = rows.groupBy("ticker").agg(
         F.median("dollars").alias("median_dollar_volume"), F.avg("dollars").alias("mean_dollar_volume"),
         (F.avg("spread") * BPS).alias("spread_bps"), (F.avg(F.when(F.col("spread").isNotNull(), F.greatest("spread", F.lit(0.0)))) * BPS).alias("spread_clipped_bps"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import student_p
@@ -16,12 +16,17 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def add_premium(df: DataFrame, price_col: str = "close", nav_col: str = "nav", strict: bool = False) -> DataFrame:
-    """Adds premium and premium_bps; ``strict`` refuses values that are not positive (one extra pass)."""
+def refuse(bad: Column, message: str, value: Column) -> Column:
+    """``value``, or an error when a row is ``bad`` as it is computed; costs no pass of its own."""
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message))).otherwise(value)
+
+
+def add_premium(df: DataFrame, price_col: str = "close", nav_col: str = "nav", strict: bool = True) -> DataFrame:
+    """Adds premium and premium_bps; ``strict`` refuses published values that are missing or not positive."""
     require(df, price_col, nav_col)
-    if strict and (n := df.where(~F.coalesce(F.col(nav_col) > 0, F.lit(False))).count()):
-        raise ValueError(f"{n} rows of {nav_col} are not positive")
     ratio = F.try_divide(F.col(price_col), F.col(nav_col)) - 1
+    if strict:
+        ratio = refuse(~F.coalesce((F.col(nav_col) > 0) & ~F.isnan(nav_col), F.lit(False)), f"{nav_col} is missing or not positive", ratio)
     return df.withColumns({"premium": ratio, "premium_bps": ratio * BPS})
 
 

@@ -137,8 +137,29 @@ def adf_test(df: DataFrame, value: str = "x") -> DataFrame:
     return rows.groupBy("ticker").applyInPandas(run, "ticker string, adf_stat double, adf_p double, lags long")
 
 
-def estimate_reversion(df: DataFrame, value: str = "x", alpha: float = 0.05, cov_type: str = "HC1", sampling_interval: float = 1.0, least: int = 20) -> DataFrame:
-    """Per key: AR(1) fit, unit-root test, half-life, resolution label and the bound of unresolved keys."""
+def width(lower: Column, upper: Column) -> Column:
+    return upper - lower
+
+
+def is_defined(lower: Column, upper: Column) -> Column:
+    return finite(lower) & finite(upper)
+
+
+def contains(lower: Column, upper: Column, value: Column) -> Column:
+    """False for an interval without bounds."""
+    return F.coalesce((lower <= value) & (value <= upper), F.lit(False))
+
+
+def show_interval(lower: Column, upper: Column) -> Column:
+    return F.when(is_defined(lower, upper), F.format_string("[%.2f, %.2f]", lower, upper)).otherwise("[undefined]")
+
+
+def estimate_reversion(df: DataFrame, value: str = "x", alpha: float = 0.05, cov_type: str = "HC1", sampling_interval: float = 1.0, least: int = 20, intervals: bool = False, n_boot: int = 2000, seed: int = 0) -> DataFrame:
+    """Per key: AR(1) fit, unit-root test, half-life, resolution label with its reason, and the bound of unresolved keys.
+
+    ``intervals`` adds, for keys with an estimate only, the bootstrap interval (lower, upper, n_valid) and
+    that of the delta method (delta_lower, delta_upper), both at level 1 - alpha.
+    """
     both = fit_ar1(df, value, cov_type, least=least).join(adf_test(df, value), "ticker", "left")
     h = half_life(F.col("b"))
     label = (
@@ -151,8 +172,29 @@ def estimate_reversion(df: DataFrame, value: str = "x", alpha: float = 0.05, cov
     )
     out = both.withColumn("resolution", label)
     known = F.col("resolution").isin("identified", "identified_subdaily")
-    return out.withColumns({
+    is_, bound = lambda k: F.col("resolution") == k, half_life(F.col("b") + 1.96 * F.col("b_se"))
+    fitted = F.coalesce(F.format_string("%.2f", h), F.lit("n/a"))
+    shown = F.when(h.isNull(), F.lit("n/a")).otherwise(fitted)
+    most = F.when(bound.isNull(), F.lit("nan")).otherwise(F.format_string("%.2f", bound))
+    out = out.withColumns({
         "half_life": F.when(known, h),
-        "bound": F.when(F.col("resolution") == "unresolved", half_life(F.col("b") + 1.96 * F.col("b_se"))),
-        "display": F.when(known, F.format_string("%.2f d", h)).when(F.col("resolution") == "unresolved", F.format_string("< %.2f d", half_life(F.col("b") + 1.96 * F.col("b_se")))).otherwise("-"),
+        "bound": F.when(is_("unresolved"), bound),
+        "display": F.when(is_("identified"), F.format_string("%.2f d", h))
+        .when(is_("identified_subdaily"), F.format_string("%.2f d (sub-daily)", h))
+        .when(is_("unresolved"), F.format_string("< %s d (unresolved, fit %s)", most, shown))
+        .when(F.col("resolution").isNotNull(), F.format_string("n/a (%s)", "resolution")),
+        "reason": F.when(is_("unit_root"), F.format_string(f"unit-root test p=%.3f is above {alpha}: a half-life would grow with the sample", "adf_p"))
+        .when(is_("unresolved"), F.format_string(f"slope p=%.3f is above {alpha}: only an upper bound of %s can be given, the fit says %s", F.col("p_value"), most, shown))
+        .when(is_("oscillatory"), F.format_string("slope %.4f is negative: values alternate and no half-life exists", "b"))
+        .when(is_("identified_subdaily"), F.format_string(f"half-life %.2f is below the sampling interval {sampling_interval:g}: an order of magnitude only", h))
+        .when(is_("identified"), F.format_string("unit-root test p=%.3g and slope p=%.3g both reject", F.col("adf_p"), F.col("p_value")))
+        .otherwise(F.format_string(f"fewer than {least} values")),
     })
+    if not intervals:
+        return out
+    from .bootstrap import bootstrap_interval
+
+    drawn = bootstrap_interval(df.join(out.where(known).select("ticker"), "ticker", "left_semi"), value, n_boot, 1 - alpha, seed=seed)
+    delta = delta_interval(F.col("b"), F.col("b_se"), 1 - alpha)
+    out = out.withColumns({"delta_lower": F.when(known, delta["lower"]), "delta_upper": F.when(known, delta["upper"])})
+    return out.join(drawn, "ticker", "left")

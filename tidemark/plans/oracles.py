@@ -57,11 +57,11 @@ ip AS (SELECT ticker, count(*) AS n, median(hi - lo) AS median_range_bps, median
   median(abs(CASE WHEN abs(hi) >= abs(lo) THEN hi ELSE lo END - premium_bps)) AS median_unwound_bps FROM b0 GROUP BY ticker)"""
 RESULTS = fit() + INTRADAY + f""", {BANDS},
 res AS (SELECT i.ticker, half_life, lower, upper, median_range_bps, sleeve, role,
-  CASE WHEN sleeve IN ('large_cap_equity', 'total_market_equity', 'developed_equity', 'em_equity') THEN 'equity' ELSE 'credit' END AS grp
+  CASE WHEN sleeve IN ('equity_us_large', 'equity_us_total', 'equity_intl_developed', 'equity_em') THEN 'equity' ELSE 'credit' END AS grp
   FROM i JOIN ip ON i.ticker = ip.ticker JOIN u ON i.ticker = u.ticker),
 prs AS (SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, a.grp AS group_a, b.grp AS group_b,
   CASE WHEN a.lower IS NULL OR b.lower IS NULL THEN TRUE ELSE a.lower <= b.upper AND b.lower <= a.upper END AS overlap
-  FROM res a JOIN res b ON a.ticker < b.ticker)"""
+  FROM res a JOIN res b ON a.ticker < b.ticker WHERE a.half_life IS NOT NULL AND b.half_life IS NOT NULL)"""
 
 
 def alignment(where: str = "TRUE") -> str:
@@ -177,7 +177,7 @@ SELECT ticker, count(h) AS n_valid, round(CASE WHEN count(h) >= 20 THEN quantile
     "separation_pairs": f"WITH {RESULTS} SELECT * FROM prs",
     "separation_counts": f"""WITH {RESULTS} SELECT count(*) FILTER (group_a <> group_b) AS cross_pairs, count(*) FILTER (group_a <> group_b AND overlap) AS cross_overlaps,
   count(*) FILTER (group_a = 'credit' AND group_b = 'credit') AS credit_pairs, count(*) FILTER (group_a = 'credit' AND group_b = 'credit' AND overlap) AS credit_overlaps FROM prs""",
-    "overlap_matrix": f"WITH {RESULTS} SELECT ticker_a AS a, ticker_b AS b, overlap FROM prs UNION ALL SELECT ticker_b, ticker_a, overlap FROM prs UNION ALL SELECT ticker, ticker, TRUE FROM res",
+    "overlap_matrix": f"WITH {RESULTS} SELECT ticker_a AS a, ticker_b AS b, overlap FROM prs UNION ALL SELECT ticker_b, ticker_a, overlap FROM prs UNION ALL SELECT ticker, ticker, TRUE FROM res WHERE half_life IS NOT NULL",
     "plot_order": f"WITH {RESULTS} SELECT ticker, role = 'primary' AND half_life IS NOT NULL AS has_estimate, round(CASE WHEN role = 'primary' THEN half_life END, 6) AS half_life, CASE WHEN role = 'primary' AND half_life IS NOT NULL THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END AS bound, round(median_range_bps, 6) AS median_range_bps FROM res",
     "yearly_premium": f"WITH {TYPES} SELECT ticker, CAST(year(date) AS INTEGER) AS year, round(avg(premium_bps), 6) AS mean_bps, count(premium_bps) AS n FROM p GROUP BY 1, 2",
     "exdiv_split": f"""WITH {TYPES} SELECT ticker, round(avg(premium_bps) FILTER (day(date) = 1), 6) AS mean_on, count(*) FILTER (day(date) = 1) AS n_on, round(avg(premium_bps) FILTER (day(date) <> 1), 6) AS mean_off,

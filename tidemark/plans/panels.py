@@ -46,12 +46,12 @@ def event_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (ticker, sleeve, band in bps, foreign session, role) of the derived panels' keys; fixed values.
 UNIVERSE = [
-    ("ECONOMY", "large_cap_equity", 900.0, False, "primary"),
-    ("LARGE", "high_yield_credit", 950.0, True, "primary"),
-    ("MEDIUM", "em_debt", 1000.0, True, "primary"),
-    ("PROMO", "em_equity", 1050.0, True, "primary"),
-    ("SMALL", "investment_grade_credit", 1000.0, False, "primary"),
-    ("STANDARD", "total_market_equity", 900.0, False, "control"),
+    ("ECONOMY", "equity_us_large", 900.0, False, "primary"),
+    ("LARGE", "credit_hy", 950.0, True, "primary"),
+    ("MEDIUM", "debt_em", 1000.0, True, "primary"),
+    ("PROMO", "equity_em", 1050.0, True, "primary"),
+    ("SMALL", "credit_ig", 1000.0, False, "primary"),
+    ("STANDARD", "equity_us_total", 900.0, False, "control"),
 ]
 
 

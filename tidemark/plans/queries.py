@@ -33,13 +33,17 @@ def segments(spark: SparkSession, d: str) -> tuple:
     return panels.segment_prices(spark, d), panels.segment_navs(spark, d)
 
 
-def series(spark: SparkSession, d: str, kind: str = "ma5") -> DataFrame:
-    """Derived series (ticker, date, x) with different persistence, rounded before use."""
+def series(spark: SparkSession, d: str, kind: str | None = "ma5") -> DataFrame:
+    """Derived series (ticker, date, x) with different persistence, rounded before use; None: all of them, in one pass."""
     x = F.col("premium_bps")
     rows = types(spark, d).select("ticker", "date", "premium_bps")
     mean = lambda k: F.when(F.count("*").over(by_date().rowsBetween(1 - k, 0)) == k, F.avg(x).over(by_date().rowsBetween(1 - k, 0)))
-    value = {"raw": x, "ma5": mean(5), "ma20": mean(20), "mix": x + 0.3 * F.lag(x).over(by_date()), "diff": x - F.lag(x).over(by_date())}[kind]
-    return rows.select("ticker", "date", F.round(value, 6).alias("x")).where("x IS NOT NULL")
+    values = {"raw": x, "ma5": mean(5), "ma20": mean(20), "mix": x + 0.3 * F.lag(x).over(by_date()), "diff": x - F.lag(x).over(by_date())}
+    if kind is not None:
+        return rows.select("ticker", "date", F.round(values[kind], 6).alias("x")).where("x IS NOT NULL")
+    made = rows.select("ticker", "date", *(F.round(v, 6).alias(k) for k, v in values.items()))
+    long = made.unpivot(["ticker", "date"], list(values), "kind", "x").where("x IS NOT NULL")
+    return long.select(F.concat_ws("/", "ticker", "kind").alias("ticker"), "date", "x")
 
 
 @query
@@ -121,7 +125,7 @@ def intraday_profile(spark, d):
 
 @query
 def liquidity_profile(spark, d):
-    return rounded(liquidity.profile_liquidity(panels.type_daily(spark, d)), 4)
+    return rounded(liquidity.profile_liquidity(panels.type_daily(spark, d), digits=12), 4)
 
 
 def _spread(spark, d, **more):
@@ -237,12 +241,7 @@ def adf_test(spark, d):
 
 @query
 def resolution(spark, d):
-    kinds = ("raw", "ma5", "ma20", "mix", "diff")
-    rows = [series(spark, d, k).withColumn("ticker", F.concat_ws("/", "ticker", F.lit(k))) for k in kinds]
-    both = rows[0]
-    for r in rows[1:]:
-        both = both.unionByName(r)
-    return rounded(reversion.estimate_reversion(both).select("ticker", "a", "b", "b_se", "adf_p", "p_value", "resolution", "half_life", "bound", "display", "n"))
+    return rounded(reversion.estimate_reversion(series(spark, d, None)).select("ticker", "a", "b", "b_se", "adf_p", "p_value", "resolution", "half_life", "bound", "display", "n"))
 
 
 def _results(spark, d):
@@ -272,7 +271,7 @@ def separation_counts(spark, d):
 
 @query
 def overlap_matrix(spark, d):
-    return cross_section.overlap_matrix(cross_section.interval_pairs(_results(spark, d)))
+    return cross_section.overlap_matrix(_results(spark, d))
 
 
 def smoothed(spark, d):
@@ -294,7 +293,7 @@ def report_table(spark, d):
 @query
 def report_separation(spark, d):
     """Pairs among keys with an estimate, on bootstrap intervals."""
-    return cross_section.separation(cross_section.interval_pairs(_report(spark, d).where("half_life IS NOT NULL")))
+    return cross_section.verdict(cross_section.separation(cross_section.interval_pairs(_report(spark, d))))
 
 
 @query

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import re
 import zipfile
+from datetime import datetime, timedelta
 from io import BytesIO
 from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
 #: Header names that mark the date and the value column; fixed values.
-DATE_NAMES = ["date", "as of", "as of date", "nav date", "pricing date", "asofdate"]
-NAV_NAMES = ["nav", "nav per share", "net asset value", "nav/share", "closing nav", "nav price"]
+DATE_NAMES = ["as of", "as of date", "asof", "date", "trade date", "record date", "nav date"]
+NAV_NAMES = ["nav per share", "nav per share ($)", "nav per share (usd)", "nav", "nav ($)", "net asset value", "net asset value per share", "closing nav"]
+#: An ampersand that begins no entity of XML itself; fixed value.
+BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)"
 #: Suffixes in the order in which a file is chosen; fixed values.
 SUFFIXES = ["xls", "xlsx", "csv", "xml"]
 HEADER_ROWS = 80
@@ -26,19 +30,19 @@ class NavFileError(ValueError):
 
 def sniff_format(content: Column) -> Column:
     """xlsx, html, spreadsheetml, markup (unknown) or csv, from the first bytes."""
-    head = F.substring(content, 1, 2000)
-    words = F.lower(F.ltrim(F.regexp_replace(F.make_valid_utf8(head.cast("string")), "﻿", "")))
+    head = F.substring(content, 1, 16_000)  # bytes: 4,000 characters of up to four each
+    words = F.lower(F.left(F.regexp_replace(F.regexp_replace(F.make_valid_utf8(head.cast("string")), "^\ufeff", ""), r"^\s+", ""), F.lit(4000)))
     return (
         F.when(F.hex(F.substring(content, 1, 4)) == "504B0304", "xlsx")
-        .when(words.rlike(r"<!doctype html|<html|<head>"), "html")
-        .when(words.startswith("<?xml") | words.rlike("^<(ss:)?workbook"), "spreadsheetml")
+        .when(words.startswith("<!doctype html") | words.startswith("<html") | F.left(words, F.lit(2000)).contains("<head>"), "html")
+        .when(words.startswith("<?xml") | words.contains("<ss:workbook") | words.contains("<workbook"), "spreadsheetml")
         .when(words.startswith("<"), "markup")
         .otherwise("csv")
     )
 
 
 def plain_header(cell: str) -> str:
-    return re.sub(r"\s+", " ", cell.strip().strip("\"'").lower())
+    return " ".join(cell.strip().strip('"').lower().split())
 
 
 def has_header(cells: list) -> bool:
@@ -56,15 +60,43 @@ def table_rows(rows: list):
     return None
 
 
+#: Number formats of dates and times that workbooks have built in; fixed values.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def date_styles(z: zipfile.ZipFile, main: str) -> set:
+    """Cell styles that show numbers as dates."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    bare = lambda code: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", code)
+    own = {int(f.get("numFmtId")) for f in root.iter(f"{main}numFmt") if re.search("[dmyhs]", bare(f.get("formatCode", "")), re.I)}
+    cells = root.find(f"{main}cellXfs")
+    return {i for i, x in enumerate(cells if cells is not None else ()) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
+
+
+def serial_date(value: str, epoch: datetime) -> str:
+    """A workbook's day number as text."""
+    when = epoch + timedelta(days=float(value))
+    return when.date().isoformat() if when == datetime(when.year, when.month, when.day) else when.isoformat(timespec="seconds")
+
+
 def xlsx_sheets(content: bytes):
-    """Rows of text of each sheet of an OOXML workbook."""
+    """(name, rows of text) of each sheet of an OOXML workbook, in order; dates by their cells' styles."""
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     with zipfile.ZipFile(BytesIO(content)) as z:
-        shared = []
+        shared, named, epoch = [], {}, datetime(1899, 12, 30)
+        dates = date_styles(z, main)
+        if "xl/workbook.xml" in z.namelist():
+            book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+            named = {i: s.get("name") for i, s in enumerate(book.iter(f"{main}sheet"), 1)}
+            if any(p.get("date1904") in ("1", "true") for p in book.iter(f"{main}workbookPr")):
+                epoch = datetime(1904, 1, 1)
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")]
-        for name in sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-            rows = []
+        numbers = sorted(int(m[1]) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+        for place, number in enumerate(numbers, 1):
+            rows, name = [], f"xl/worksheets/sheet{number}.xml"
             for row in ElementTree.fromstring(z.read(name)).iter(f"{main}row"):
                 cells: list = []
                 for c in row.iter(f"{main}c"):
@@ -80,51 +112,59 @@ def xlsx_sheets(content: bytes):
                         value = shared[int(value)] if value else ""
                     elif c.get("t") == "inlineStr":
                         value = "".join(t.text or "" for t in c.iter(f"{main}t"))
+                    elif c.get("t", "n") == "n" and value and int(c.get("s", 0)) in dates:
+                        value = serial_date(value, epoch)
                     cells += [""] * (at - len(cells)) + [value]
                 rows.append(cells)
-            yield rows
+            yield named.get(place, f"sheet{number}"), rows
 
 
 def spreadsheetml_sheets(text: str):
-    """Rows of text of each sheet of an XML spreadsheet; bare ampersands are repaired, gaps by index filled."""
-    text = re.sub(r"&(?!(?:#\d+|#x[0-9a-fA-F]+|\w+);)", "&amp;", text.lstrip("﻿ \r\n\t"))
+    """(name, rows of text) of each sheet of an XML spreadsheet; bare ampersands are repaired, gaps by index filled."""
+    text = re.sub(BARE_AMPERSAND, "&amp;", text.lstrip("\ufeff \r\n\t"))
     local = lambda e: e.tag.rpartition("}")[2]
-    for sheet in (e for e in ElementTree.fromstring(text).iter() if local(e) == "Worksheet"):
-        rows = []
+    try:
+        root = ElementTree.fromstring(text)
+    except ElementTree.ParseError as e:
+        raise NavFileError(f"no XML spreadsheet: {e}") from None
+    for sheet in (e for e in root.iter() if local(e) == "Worksheet"):
+        rows, name = [], next((v for k, v in sheet.attrib.items() if k.rpartition("}")[2] == "Name"), "")
         for row in (e for e in sheet.iter() if local(e) == "Row"):
             cells: list = []
             for cell in (e for e in row if local(e) == "Cell"):
                 index = next((int(v) for k, v in cell.attrib.items() if k.rpartition("}")[2] == "Index"), None)
                 if index is not None:
                     cells += [""] * (index - 1 - len(cells))
-                cells.append("".join(t for d in cell if local(d) == "Data" for t in d.itertext()))
+                cells.append("".join(t for d in cell if local(d) == "Data" for t in d.itertext()).strip())
             rows.append(cells)
-        yield rows
+        yield name, rows
 
 
 def csv_sheets(text: str):
     import csv
 
-    yield list(csv.reader(text.lstrip("﻿").splitlines()))
+    yield "", list(csv.reader(text.lstrip("\ufeff").splitlines()))
 
 
-def file_rows(content: bytes, kind: str):
-    """(column name, position, row, cell) quadruples of the first table with the expected header."""
+def file_rows(content: bytes, kind: str, only: str | None = None):
+    """(header, rows) of the first table with the expected header, on any sheet or on the one named ``only``."""
     if kind == "xlsx":
         sheets = xlsx_sheets(content)
     elif kind == "spreadsheetml":
-        sheets = spreadsheetml_sheets(content.decode("utf-8-sig"))
+        sheets = spreadsheetml_sheets(content.decode("utf-8-sig", "replace"))
     elif kind == "csv":
-        sheets = csv_sheets(content.decode("utf-8-sig"))
+        sheets = csv_sheets(content.decode("utf-8-sig", "replace"))
     else:
         raise NavFileError(f"a web page or unknown markup instead of data ({kind})")
-    for rows in sheets:
+    for name, rows in sheets:
+        if only not in (None, name):
+            continue
         if found := table_rows(rows):
             return [plain_header(c) for c in found[0]], found[1]
     raise NavFileError("no row names both a date and a value column")
 
 
-def read_nav_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def read_nav_files(spark: SparkSession, path, glob: str = "*") -> DataFrame:
     """(path, row, raw_date, raw_nav) of all files; one file is one task's unit of work."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     files = files.select("path", "content", sniff_format(F.col("content")).alias("kind"))
@@ -175,18 +215,31 @@ def nav_series(raw: DataFrame, min_rows: int = 1000, low: float = 1.0, high: flo
     bad = report.withColumn("problem", problem).where("problem IS NOT NULL").limit(5).collect()
     if bad:
         raise NavFileError("; ".join(f"{r.ticker}: {r.problem}" for r in bad))
+    if report.isEmpty():
+        raise NavFileError("no rows at all")
     return rows.where(good)
 
 
-def ex_dates(spark: SparkSession, path: str, sheet_column: str = "ex-dividends") -> DataFrame:
-    """(ticker, date): dates of a workbook's rows whose dividend column is not blank."""
+def load_nav_file(spark: SparkSession, path: str, min_rows: int = 1000) -> DataFrame:
+    """(ticker, date, nav) of one file, or of the file that is chosen for each key of a folder; refuses what fails a guard."""
+    try:
+        chosen = [r.path for r in choose_files(spark, path).collect()]  # a name a key
+    except AnalysisException:
+        chosen = []
+    if not chosen:
+        raise NavFileError(f"{path}: no file of published values; issuers offer them for download by hand")
+    return nav_series(read_nav_files(spark, chosen), min_rows)
+
+
+def ex_dates(spark: SparkSession, path: str, sheet_column: str = "ex-dividends", sheet: str | None = "Historical") -> DataFrame:
+    """(ticker, date): dates of a workbook's rows, on the sheet of that name, whose dividend column is not blank."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for name, content, kind in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                header, rows = file_rows(content, kind)
+                header, rows = file_rows(content, kind, None if kind == "csv" else sheet)
                 if sheet_column in header:
                     d, x = next(i for i, h in enumerate(header) if h in DATE_NAMES), header.index(sheet_column)
                     days = [r[d] for r in rows if r[x].strip() not in ("", "-", "--")]
