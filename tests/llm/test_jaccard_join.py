@@ -1,7 +1,7 @@
 import random
 import re
 
-from tidemark.llm.jaccard_join import linked
+from tidemark.llm.jaccard_join import joined_lists, linked
 
 
 def brute(rows, width=4, num=85, den=100):
@@ -45,6 +45,63 @@ def make(seed, n=260):
     return out
 
 
+def test_group_filter_keeps_every_pair_that_may_be_similar():
+    """Against the filter on all pairs of a list."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        k = int(r.integers(1, 40))
+        item, n = np.sort(r.integers(0, 3, k)), r.integers(1, 25, k)
+        order = np.lexsort((n, item))
+        item, n = item[order], n[order]
+        left = np.array([r.integers(1, x + 1) for x in n])
+        up = list(range(k))
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i in range(k):
+            for j in range(i):
+                a, b = sorted((int(n[i]), int(n[j])))
+                if item[i] == item[j] and a * 100 >= b * 85 and min(left[i], left[j]) >= -(-85 * (a + b) // 185):
+                    up[max(root(i), root(j))] = min(root(i), root(j))
+        label = joined_lists(item, n, left, 85, 100)
+        assert label.tolist() == [root(i) for i in range(k)]
+
+
+def test_crowd_without_main_component(spark, monkeypatch):
+    """A thousand documents that share a passage and little else, some of them in small groups of near copies."""
+    for name, v in (("FILTERED", 50), ("TILE", 64)):
+        monkeypatch.setattr(f"tidemark.llm.jaccard_join.{name}", v)
+    r = random.Random(8)
+    rows = []
+    for i in range(1000):
+        own = [f"u{i}x{k}" for k in range(12)]
+        if i % 10 == 9:  # a near copy of an earlier one
+            own = rows[r.randrange(len(rows))][1].split()[8:]
+            own.append("z")
+        rows.append((i, " ".join(["all of us share these eight words", "here"] + own)))
+    check(spark, rows, block=16)
+
+
+def test_rows_that_share_an_id(spark):
+    """Each is a document of its own; components still have the smallest id."""
+    a, b, c = ("one two three four five six", "red green blue cyan pink gray", "alpha beta gamma delta epsilon zeta")
+    df = spark.createDataFrame([(5, a), (5, b), (9, b), (5, c), (2, c), (7, a), (7, a)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in linked(df).collect())
+    assert got == [(2, 3, 2), (5, 3, 2), (5, 3, 5), (5, 3, 5), (7, 3, 5), (7, 3, 5), (9, 3, 5)]
+
+
+def test_very_long_text(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[:-1000]])), (3, " ".join(words[:200_000])), (4, "")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (299_997, 1), 2: (298_998, 1), 3: (199_997, 3), 4: (0, 4)}
+
+
 def check(spark, rows, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS n", "'x' AS doc").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in linked(df, **more).collect()}

@@ -36,12 +36,25 @@ def shared_table(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it back."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes shared tables that nothing will read any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
-    """Arrow batches of at most ``size`` bytes from now on: long texts must not fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def fresh(base: str, *frames: DataFrame) -> str:
+    """A column name like ``base`` that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -50,10 +63,16 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 55 else 0
 
 
-def bucket_count(df: DataFrame, per_bucket: int) -> int:
-    """Buckets of about ``per_bucket`` input bytes, at least one for each shuffle partition."""
+def bucket_count(df: DataFrame, per_bucket: int, text_col: str = "text") -> int:
+    """Buckets of about ``per_bucket`` input bytes, at least one for each shuffle partition.
+
+    Where the optimizer has no size estimate the bytes of text are counted.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(input_bytes(df) / per_bucket))
+    size = input_bytes(df)
+    if not size and text_col in df.columns:
+        size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(least, math.ceil(size / per_bucket))
 
 
 def join_by_size(left: DataFrame, right: DataFrame, on: str, how: str, width: int = 64) -> DataFrame:
@@ -119,6 +138,22 @@ def split_rows(bucket, arrays: list):
         yield int(b[lo]), pack([a[take] for a in arrays])
 
 
+def smallest_reachable(i, j, n: int):
+    """Smallest reachable index of each of n vertices."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _forest(batches):
     """Links of one task to a spanning forest of (vertex, smallest vertex of its tree)."""
     import pyarrow as pa
@@ -160,13 +195,18 @@ def components(edges: DataFrame) -> DataFrame:
     schema = "a long, b long"
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forest, schema)
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    old: list = []
     while True:
         e = shared_table(e.repartition(parts, "a").mapInArrow(_forest, schema))
+        release(*old)
+        old = [e]
         least = e.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n"))
         ends = e.select(F.col("b").alias("a")).distinct()
         steps = shared_table(ends.join(least, "a").select(F.col("a").alias("b"), F.col("b").alias("c")))
+        old.append(steps)
         far = steps.count()
         if not far and not least.where("n > 1").limit(1).count():
+            release(steps)
             break
         if far <= BROADCAST_ROWS:
             moved = e.join(F.broadcast(steps), "b", "left")

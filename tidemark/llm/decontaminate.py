@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-from .textops import Words, ranges, scramble, text_chunks
+from .textops import Words, ranges, row_chunks, scramble, text_chunks
 
 TABLE = 1 << 16
 
@@ -118,7 +117,7 @@ def scan(shared, last: bool):
         windows, names = shared.value
         tables = {m: shift_table(x[0]) for m, x in windows.items()}
         words = Words("alnum")
-        for batch in batches:
+        for batch in row_chunks(batches, 1):
             row = 0
             spans_in, items_in = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out = []
@@ -169,7 +168,7 @@ def keeper(shared, text_at: int):
         waiting = []
 
         def texts():
-            for batch in batches:
+            for batch in row_chunks(batches, text_at):
                 waiting.append(batch)
                 none = [pa.nulls(batch.num_rows, pa.list_(t)) for t in (pa.int64(), pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_at), *none], ["doc_id", "text", "spans", "items"])
@@ -195,7 +194,6 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    bounded_batches(documents.sparkSession, 4 << 20)
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
@@ -211,7 +209,6 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no window of an item; each row is judged by itself."""
-    bounded_batches(documents.sparkSession, 4 << 20)
     schema, text_at = documents.schema, documents.columns.index(text_col)
     for block in item_blocks(benchmark, item_col, item_text, block_bytes):
         shared = documents.sparkSession.sparkContext.broadcast((item_windows(block, window), [x[0] for x in block]))

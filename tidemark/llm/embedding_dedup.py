@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, pack, shared_table, stacked
+from .common import NULL_ID, components, pack, release, shared_table, smallest_reachable, stacked
 
 SLACK = 1e-9
 #: Coordinates are rounded to multiples of 1 / STEPS; a vector's distance from its rounded self in one dimension.
@@ -186,22 +186,6 @@ def left_over(blocks: int, cosine: float):
     return run
 
 
-def forest(i, j, n: int):
-    """Smallest reachable index of each of n vertices."""
-    import numpy as np
-
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def verify(blocks: int, cosine: float):
     """Group function over what is left of one tile: (kind 0: key, links) and (kind 1: link of a spanning forest)."""
 
@@ -246,7 +230,7 @@ def verify(blocks: int, cosine: float):
             links += (near * weight[h][:, None]).sum(0)
             a, c = np.nonzero(near)
             if len(a):
-                up = forest(np.r_[h[a], np.arange(len(key))], np.r_[c, up], len(key))
+                up = smallest_reachable(np.r_[h[a], np.arange(len(key))], np.r_[c, up], len(key))
         some, moved = np.flatnonzero(links), np.flatnonzero(up != np.arange(len(key)))
         return pa.table({"kind": pa.array(np.r_[np.zeros(len(some)), np.ones(len(moved))].astype(np.int32)), "a": pa.array(np.r_[key[some], key[moved]]), "b": pa.array(np.r_[links[some], key[up[moved]]])})
 
@@ -284,12 +268,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = distinct.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     classes = shared_table(classes.orderBy("id", "h1", "h2").withColumn("key", F.monotonically_increasing_id()))
     one = shared_table(distinct.join(classes, ["id", "h1", "h2"]).select("key", "weight", "vector"))
+    release(distinct)
     n = one.count()
     shared = spark.sparkContext.broadcast(pivots_of(one, n, blocks, per_cell, per_tile, sample))
     ints = lambda names: ", ".join(f"{c} int" for c in names)
     dealt = one.select("key", "vector").mapInArrow(deal(shared, blocks, cosine), ints(TILE) + ", block binary")
     left = shared_table(dealt.groupBy(*TILE).applyInArrow(left_over(blocks, cosine), ints(TILE) + ", key long, part int, resident int"))
     found = shared_table(left.join(one, "key").groupBy(*TILE).applyInArrow(verify(blocks, cosine), "kind int, a long, b long"))
+    release(left, one)
     links = found.where("kind = 0").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("links"))
     class_of = components(found.where("kind = 1").select("a", "b"))
     names = classes.select(F.col("key").alias("component"), F.col("id").alias("component_id"))

@@ -5,9 +5,11 @@ prefixes in that order, so only prefix elements are joined:
 
 1. Documents with equal prefixes and equal size make one group; the groups' prefix elements are
    dealt to buckets by their hash.
-2. Within the groups that hold an element, sizes too far apart and positions too late part the
-   list; the groups that stay together are named by the one whose element comes first.  Every
-   candidate pair of groups carries a common name.
+2. Of the groups that hold an element, two stay a pair if the smaller size is not too small and, from
+   the element on, both have as many elements left as similar sets of their sizes must share.  What
+   such pairs hold together is named by the group whose element comes first, so every pair of groups
+   that passes the filter carries a common name.  A group that passes with some group of a size passes
+   with the one of that size that has most elements left, so only those are tried.
 3. Names are expanded to member documents, whose pairs are filtered by bit sketches of their sets:
    similar sets differ in a bounded number of elements, and so in as many bits at most.
    Documents without a partner drop out; what holds together, under any names, makes a block, so
@@ -16,14 +18,18 @@ prefixes in that order, so only prefix elements are joined:
    block's intersection sizes are one product of 0/1 matrices.  Only a spanning forest leaves a
    block.  Blocks of more than ``block`` members are cut, and each part also gets the member whose
    elements led most lists; documents that have not joined the main component of their block are
-   then compared with the rest of it, tile by tile.
-
-No task holds more than a few blocks and nothing quadratic in a group's size is written.  Sets are
-compared by 64-bit shingle hashes.  Copies of one set are collapsed before the comparison.
-
-A null or empty text has no shingles and links with nothing.  Each row with a null id is a
-vertex of its own; these sort first.  Rows that repeat an id with one text count as one document.  Other columns are
-ignored; an empty table gives an empty result.
+   then compared with the rest of it, tile by tile: by sketches first, and by their sets where those
+   allow a link.
+
+No task holds more than a few blocks or one tile.  The second pass writes a row for each document that is
+left and each tile of ``TILE`` documents of its block, and the reverse; that is little where a block has a
+main component, and the square of the block's size over ``TILE`` where it has none, as any exact comparison
+of a crowd of unlike documents that share their rarest shingles.  Sets are compared by 64-bit shingle
+hashes.  Copies of one set are collapsed before the comparison.
+
+A null or empty text has no shingles and links with nothing.  Each row with a null id, and each further
+row of an id, is a document of its own; null ids sort first.  Other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +37,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bounded_batches, bucket_count, components, join_by_size, pack, shared_table, split_rows, stacked, unpack
-from .textops import Words, chain, ranges, scramble, text_chunks, trim
+from .common import NULL_ID, bucket_count, components, fresh, join_by_size, pack, release, shared_table, smallest_reachable, split_rows, stacked, unpack
+from .textops import Words, chain, ranges, row_chunks, scramble, text_chunks, trim
 
 SLOTS = 1 << 22
 #: Bits of a sketch for each element, at least; sketches have a power of two of bits.
 BITS = 2
-#: Names with more documents than this are never gathered: they are kept whole, and cut later.
+#: Names with more documents than this are not filtered in one task but kept together, and cut later.
 FILTERED = 4096
-#: Rows without an id have keys of their own, from NULL_ID on and below this.
-NULL_KEYS = NULL_ID + (1 << 56)
+#: Documents of a tile in the second pass.
+TILE = 2048
+#: Rows without an id have keys of their own, from NULL_ID on and below this; further rows of an id from here on.
+NULL_KEYS, MORE_KEYS = NULL_ID + (1 << 56), 1 << 62
 
 
 def shingle_sets(batches, width: int):
@@ -117,7 +125,7 @@ def prefixes(width: int, num: int, den: int, slots: bytes, buckets: int):
         import pyarrow as pa
 
         common = np.unpackbits(unpack(slots)[0]).astype(bool)
-        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):  # bounds memory
+        for batch in row_chunks(batches, 1):
             info, entries = [], []
             for ids, first, items in shingle_sets([batch], width):
                 n = np.diff(first)
@@ -173,6 +181,38 @@ def described(batches):
             yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (ids, n, sig.view(np.int64), sig2.view(np.int64), group.view(np.int64))), sketch], ["doc", "n", "sig", "sig2", "grp", "sketch"])
 
 
+def joined_lists(item, n, left, num: int, den: int):
+    """Connected parts of each element's list under the group-pair filter; rows in order of item and n.
+
+    ``left`` counts a group's elements from the shared one on.
+    """
+    import numpy as np
+
+    need = lambda a, b: -(-num * (a + b) // (num + den))
+    same = np.r_[False, (item[1:] == item[:-1]) & (n[1:] == n[:-1])]
+    first = np.flatnonzero(~same)
+    size_of = np.cumsum(~same) - 1  # by row: its run of one item and size
+    most = np.maximum.reduceat(left, first)
+    best = np.flatnonzero(left == most[size_of])
+    best = best[np.searchsorted(size_of[best], np.arange(len(first)))]  # the row with most elements left, by run
+    size, list_of = n[first], item[first]
+    fits = np.minimum(left, most[size_of]) >= need(n, n)
+    a, b = [np.flatnonzero(fits)], [best[size_of[fits]]]
+    for way in (1, -1):
+        row, step = np.arange(len(n)), 0
+        while len(row):
+            step += way
+            run = size_of[row] + step
+            ok = (run >= 0) & (run < len(first))
+            row, run = row[ok], run[ok]
+            ok = (list_of[run] == item[row]) & (np.minimum(size[run], n[row]) * den >= np.maximum(size[run], n[row]) * num)
+            row, run = row[ok], run[ok]
+            fits = np.minimum(left[row], most[run]) >= need(n[row], size[run])
+            a.append(row[fits])
+            b.append(best[run[fits]])
+    return smallest_reachable(np.concatenate(a), np.concatenate(b), len(n))
+
+
 def named_groups(num: int, den: int):
     """Group function: (name, group) of the groups that may be similar by one of the bucket's elements."""
 
@@ -183,23 +223,22 @@ def named_groups(num: int, den: int):
         item, g, n, place = stacked(table.column("block").to_pylist(), 4, [np.uint64, np.uint64, np.uint32, np.uint32])
         item, g = item.view(np.int64), g.view(np.int64)
         n, place = n.astype(np.int64), place.astype(np.int64)
-        # sizes in ascending order; a gap that no pair can bridge parts a list
         order = np.lexsort((g, n, item))
         item, g, n, place = (x[order] for x in (item, g, n, place))
         if len(item):
             keep = np.r_[True, (item[1:] != item[:-1]) | (g[1:] != g[:-1])]
+            keep &= np.r_[False, item[1:] == item[:-1]] | np.r_[item[1:] == item[:-1], False]
             item, g, n, place = (x[keep] for x in (item, g, n, place))
-            new = np.r_[True, (item[1:] != item[:-1]) | (n[:-1] * den < n[1:] * num)]
-            run = np.cumsum(new) - 1
-            many = np.bincount(run)[run] > 1
-            run, g, place = run[many], g[many], place[many]
-            order = np.lexsort((g, place, run))
-            run, g = run[order], g[order]
-            new = np.r_[True, run[1:] != run[:-1]] if len(run) else np.zeros(0, bool)
-            name = g[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(run) else g
+        pairs = np.zeros((0, 2), np.int64)
+        if len(item):
+            label = joined_lists(item, n, n - place, num, den)
+            many = np.bincount(label, minlength=len(label))[label] > 1
+            label, g, place = label[many], g[many], place[many]
+            order = np.lexsort((g, place, label))
+            label, g = label[order], g[order]
+            new = np.r_[True, label[1:] != label[:-1]] if len(label) else np.zeros(0, bool)
+            name = g[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(label) else g
             pairs = np.unique(np.stack([name, g], 1), axis=0)
-        else:
-            pairs = np.zeros((0, 2), np.int64)
         return pa.table({"name": pairs[:, 0], "grp": pairs[:, 1]})
 
     return run
@@ -274,25 +313,39 @@ def filtered_pairs(num: int, den: int):
     return run
 
 
-def open_pairs(num: int, den: int):
-    """Group function over whole tiles: (block, doc) of the documents that may still gain a link."""
+def open_pairs(num: int, den: int, most: int):
+    """Group function over whole tiles: (block, doc) of the documents that may still gain a link, in blocks of at most ``most``."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        block, doc, n, part = (table.column(c).to_numpy() for c in ("block", "doc", "n", "component_id"))
+        tile, doc, n, part = (table.column(c).to_numpy() for c in ("tile", "doc", "n", "component_id"))
         sketch = table.column("sketch").to_pylist()
-        order = np.lexsort((doc, block))
-        cuts = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
-        kept = []
+        order = np.lexsort((doc, tile))
+        cuts = np.flatnonzero(np.r_[True, tile[order][1:] != tile[order][:-1]])
+        out = []
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             i = order[lo:hi]
+            i = i[np.r_[True, doc[i][1:] != doc[i][:-1]]]
             near = plausible(n[i], [sketch[k] for k in i], num, den) & (part[i][:, None] != part[i][None, :])
-            kept.append(i[near.any(1)])
-        kept = np.concatenate(kept)
+            label = labels_of(near)
+            by = np.argsort(label, kind="stable")
+            first = np.flatnonzero(np.r_[True, label[by][1:] != label[by][:-1]])
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)]):
+                some = by[a:b]
+                if 1 < len(some) <= most:
+                    out.append((int(tile[i[0]]), a, 0, i[some]))
+                elif len(some) > most:  # pieces in pairs, where any of their members may be linked
+                    pieces = np.array_split(some, -(-2 * len(some) // most))
+                    for x in range(len(pieces)):
+                        for y in range(x, len(pieces)):
+                            if near[np.ix_(pieces[x], pieces[y])].any():
+                                out.append((int(tile[i[0]]), a, (x << 16 | y) + 1, i[np.union1d(pieces[x], pieces[y])]))
         trim()
-        return pa.table({"block": block[kept], "doc": doc[kept]})
+        size = [len(x[3]) for x in out]
+        names = [pa.array(np.repeat(np.array([x[k] for x in out], np.int64), size)) for k in range(3)]
+        return pa.Table.from_arrays([*names, pa.array(doc[np.concatenate([x[3] for x in out])] if out else np.zeros(0, np.int64))], ["tile", "part", "piece", "doc"])
 
     return run
 
@@ -380,30 +433,52 @@ def compared(docs: DataFrame, members: DataFrame, width: int, num: int, den: int
     return sets.groupBy(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin")).applyInArrow(compare_blocks(num, den), "a long, b long")
 
 
-def row_keys(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows with ``__key``: the id, or a key below NULL_KEYS of its own for each row without one."""
-    key = F.col(id_col).cast("long")
-    without = shared_table(documents.where(key.isNull()).withColumn("__key", F.monotonically_increasing_id() + NULL_ID))  # written, so keys stay
-    return documents.where(key.isNotNull()).withColumn("__key", key).unionByName(without)
+def row_keys(documents: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """The rows with a key of their own, and its name.
+
+    The key is the id; a row without one has a key below NULL_KEYS, and each further row of an id one above MORE_KEYS.
+    """
+    name, key = fresh("row_key", documents), F.col(id_col).cast("long")
+    again = shared_table(documents.where(key.isNotNull()).groupBy(key.alias(name)).count().where("count > 1").select(name))
+    keyed = documents.withColumn(name, key)
+    if not again.limit(1).count():
+        rare, rest = keyed.where(key.isNull()), keyed.where(key.isNotNull())
+        if rare.limit(1).count():
+            rest = rest.unionByName(shared_table(rare.withColumn(name, F.monotonically_increasing_id() + NULL_ID)))  # written, so keys stay
+        return rest, name
+    place, least = fresh("place", keyed), fresh("least", keyed)
+    rare = join_by_size(keyed, again, name, "left_semi").unionByName(keyed.where(key.isNull()))
+    rare = shared_table(rare.withColumn(place, F.monotonically_increasing_id()))
+    first = rare.groupBy(name).agg(F.min(place).alias(least))
+    rare = join_by_size(rare, shared_table(first.where(F.col(name).isNotNull())), name, "left")
+    own = F.when(key.isNull(), F.col(place) + NULL_ID).when(F.col(place) == F.col(least), key).otherwise(F.col(place) + MORE_KEYS)
+    rest = join_by_size(keyed.where(key.isNotNull()), again, name, "left_anti")
+    return rest.select(*documents.columns, name).unionByName(rare.withColumn(name, own).select(*documents.columns, name)), name
 
 
 def linked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, block: int = 256) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links; null ids come first)."""
-    out = linked_keys(row_keys(documents, id_col), "__key", text_col, width, num, den, block)
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links; null ids come first)."""
+    keyed, name = row_keys(documents.select(id_col, text_col), id_col)
+    out = linked_keys(keyed, name, text_col, width, num, den, block)
     null = lambda c: F.when(F.col(c) >= NULL_KEYS, F.col(c)).alias(c)
+    more = keyed.where(F.col(name) >= MORE_KEYS).select(F.col(name).alias("doc_id"), F.col(id_col).cast("long").alias("own"))
+    if more.limit(1).count():  # further rows of an id: their keys say nothing of their place among the ids
+        out = out.join(shared_table(more), "doc_id", "left").withColumn("doc_id", F.coalesce("own", "doc_id")).drop("own")
+        least = shared_table(out.groupBy("component_id").agg(F.min("doc_id").alias("least")).where("least <> component_id"))
+        out = join_by_size(out, least, "component_id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
     return out.select(null("doc_id"), "n_shingles", null("component_id"))
 
 
 def linked_keys(documents: DataFrame, key_col: str, text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, block: int = 256) -> DataFrame:
-    """As ``linked``, by a key without nulls."""
+    """As ``linked``, by a key without nulls that no two rows share."""
     docs = documents.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"))
-    bounded_batches(docs.sparkSession)
     slots = common_slots(docs, width)
     buckets = bucket_count(docs, 8 << 20)
     made = shared_table(docs.mapInArrow(prefixes(width, num, den, slots, buckets), "kind int, bucket int, block binary"))
     info = shared_table(made.where("kind = 1").mapInArrow(described, "doc long, n long, sig long, sig2 long, grp long, sketch binary"))
     sets = shared_table(info.where("n > 0").groupBy("n", "sig", "sig2", "grp").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch")))
     names = shared_table(made.where("kind = 0").groupBy("bucket").applyInArrow(named_groups(num, den), "name long, grp long").distinct())
+    release(made)
     alone = sets.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("name"), "grp")
     pairs = shared_table(names.union(alone).distinct().join(sets.select("grp", "doc"), "grp").select("name", "doc"))
     crowd = pairs.groupBy("name").agg(F.count("*").alias("many"), F.min("doc").alias("head")).where(F.col("many") > FILTERED)
@@ -417,11 +492,12 @@ def linked_keys(documents: DataFrame, key_col: str, text_col: str = "text", widt
     lists = names.groupBy(F.col("name").alias("grp")).agg(F.count("*").alias("lists"))
     named = sets.join(lists, "grp", "left").join(blocks, "doc").select("name", "doc", F.coalesce("lists", F.lit(0).cast("long")).alias("lists"))
     named = shared_table(named)
+    release(names, pairs, crowd)
     sizes = named.groupBy("name").agg(F.count("*").alias("many"), F.max_by("doc", F.struct("lists", "doc")).alias("head")).where("many > 1")
     cut = F.ceil(F.col("many") / block).cast("long")
-    part = F.pmod(F.xxhash64("doc"), F.col("cut"))
-    parted = named.select("name", "doc").join(sizes.select("name", "head", cut.alias("cut")), "name").withColumn("part", part)
+    parted = named.select("name", "doc").join(sizes.select("name", "head", cut.alias("cut")), "name").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("cut")))
     parted = shared_table(parted)
+    release(named)
     heads = parted.where("doc = head and cut > 1").select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("part"), "doc")
     first = parted.select("name", "part", "doc").union(heads).distinct()
     links = shared_table(compared(docs, shared_table(first.select(F.xxhash64("name", "part").alias("block"), "doc")), width, num, den))
@@ -429,17 +505,19 @@ def linked_keys(documents: DataFrame, key_col: str, text_col: str = "text", widt
     if big.limit(1).count():
         now = components(links)
         at = big.join(now.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component_id", F.coalesce("component_id", "doc"))
-        at = shared_table(at.select("name", "doc", "cut", "part", "component_id"))
-        held = at.groupBy("name", "component_id").count().groupBy("name").agg(F.max_by("component_id", F.struct("count", "component_id")).alias("main"))
+        at = shared_table(at.select("name", "doc", "component_id"))
+        held = at.groupBy("name", "component_id").count().groupBy("name").agg(F.max_by("component_id", F.struct("count", "component_id")).alias("main"), F.sum("count").alias("all"))
         rest = at.join(held, "name").where("component_id <> main")
-        some = rest.groupBy("name").agg(F.ceil(F.count("*") / block).cast("long").alias("tiles"))
-        rest = rest.join(some, "name").withColumn("tile", F.pmod(F.xxhash64("doc", F.lit(7)), "tiles"))
-        spread = rest.select("name", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("part"), "doc")
-        others = at.join(some, "name").select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "part", "doc")
-        tiles = spread.union(others).select(F.xxhash64("name", "tile", "part", F.lit("tile")).alias("block"), "doc").distinct()
-        facts = at.select("doc", "component_id").join(sets.select("doc", "n", "sketch"), "doc")
-        tiles = tiles.join(facts, "doc").groupBy(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"))
-        second = shared_table(tiles.applyInArrow(open_pairs(num, den), "block long, doc long"))
+        some = rest.groupBy("name").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"), F.ceil(F.any_value("all") / TILE).cast("long").alias("cut"))
+        some = shared_table(some)
+        tile = lambda seed, c: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(c))
+        each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        spread = join_by_size(rest, some, "name", "inner").withColumn("row", tile(7, "tiles")).select("name", "row", each("cut").alias("col"), "doc", "component_id")
+        others = join_by_size(at, some, "name", "inner").withColumn("col", tile(8, "cut")).select("name", each("tiles").alias("row"), "col", "doc", "component_id")
+        tiles = spread.union(others).select(F.xxhash64("name", "row", "col").alias("tile"), "doc", "component_id").distinct()
+        tiles = tiles.join(sets.select("doc", "n", "sketch"), "doc").groupBy(F.pmod(F.xxhash64("tile"), F.lit(bins)).alias("bin"))
+        second = tiles.applyInArrow(open_pairs(num, den, block), "tile long, part long, piece long, doc long")
+        second = shared_table(second.select(F.xxhash64("tile", "part", "piece").alias("block"), "doc"))
         if second.limit(1).count():
             links = links.union(compared(docs, second, width, num, den))
     class_of = components(links)

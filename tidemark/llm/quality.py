@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-from .textops import Words, text_chunks
+from .common import fresh
+from .textops import Words, row_chunks, text_chunks
 
 BITS, RANK = 14, 8
 #: Byte classes: upper case, lower case, digits, blanks, line ends, marks of prose, other marks, beyond ASCII.
@@ -188,9 +188,7 @@ def scorer(shared):
         import pyarrow as pa
 
         make, machine = Features(), Machine(*shared.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in row_chunks(batches, 1):
             meta = np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1)
             at, out = 0, []
             keys = batch.column(0)
@@ -213,9 +211,7 @@ def keeper(shared, text_at: int, meta_at: int):
         import pyarrow as pa
 
         make, machine = Features(), Machine(*shared.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in row_chunks(batches, text_at):
             meta = np.array(batch.column(meta_at).to_pylist(), np.float64).reshape(batch.num_rows, -1)
             rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_at)], ["i", "text"])
             good, at = np.zeros(batch.num_rows, bool), 0
@@ -239,7 +235,6 @@ def metadata(documents: DataFrame, meta_cols: tuple):
 
 def trained(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, meta_cols: tuple, sample: int, folds: int, held: int):
     """The machine fitted on the labelled sample, as a broadcast of fixed size."""
-    bounded_batches(documents.sparkSession, 4 << 20)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), metadata(documents, meta_cols).alias("meta"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(fold_of("doc_id", folds) != held)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -252,7 +247,7 @@ def trained(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple = ("n_chars",), sample: int = 8000, folds: int = 3, held: int = 1) -> DataFrame:
     """The rows of ``documents``, all columns, that the classifier does not reject; a narrow map."""
     shared = trained(documents, labels, id_col, text_col, label_col, meta_cols, sample, folds, held)
-    rows = documents.withColumn("__meta", metadata(documents, meta_cols))
+    rows = documents.withColumn(fresh("meta", documents), metadata(documents, meta_cols))
     return rows.mapInArrow(keeper(shared, rows.columns.index(text_col), len(rows.columns) - 1), documents.schema)
 
 

@@ -33,7 +33,7 @@ def row_chunks(batches, text_at: int, limit: int = 4 << 20):
             at = end
 
 
-def text_chunks(batches, limit: int = 2 << 20):
+def text_chunks(batches, limit: int = 1 << 20):
     """Yields (ids, offsets, bytes) of whole texts, about ``limit`` bytes at a time.
 
     Column 0 is a non-null long id, column 1 a string; a null text counts as empty.  A text
@@ -78,7 +78,7 @@ def separators(kind: str):
 class Words:
     """Finds the words of a chunk and hashes each to 64 bits."""
 
-    def __init__(self, kind: str, size: int = 2 << 20):
+    def __init__(self, kind: str, size: int = 1 << 20):
         import numpy as np
 
         self.word = separators(kind)
