@@ -1,4 +1,8 @@
-"""A corpus pipeline of five operators: each stage works on all that its predecessor kept."""
+"""A corpus pipeline of five operators: each stage works on all that its predecessor kept.
+
+An empty table passes through all stages.  Columns other than doc_id, text and n_chars are kept as they
+are until the last stage, whatever their names, and texts of any length are judged whole.
+"""
 
 from __future__ import annotations
 
@@ -14,30 +18,37 @@ from tidemark.llm.sentencepiece_codec import encode_digest
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; each row, repeated or without an id, is judged by itself.
+
+    Null and empty texts are judged by their structure.  Without labels every score is 0.5 and nothing goes.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents (five-word shingles, 0.8) the one with the smallest doc_id (any null first) stays."""
-    keyed = row_keys(docs)
-    gone = linked_keys(keyed, "__key", width=5, num=80).where("component_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
-    return join_by_size(keyed, shared_table(gone), "__key", "left_anti", 16).select(*docs.columns)
+    """Of each group of similar documents (five-word shingles, 0.8) one row stays: that of the smallest doc_id.
+
+    Rows without an id come before all others, in any order; further rows of an id come after all others, so of a
+    repeated row one stays.  Empty and null texts are similar to nothing and stay, each of them.
+    """
+    keyed, key = row_keys(docs)
+    gone = linked_keys(keyed, key, width=5, num=80).where("component_id <> doc_id").select(F.col("doc_id").alias(key))
+    return join_by_size(keyed, shared_table(gone), key, "left_anti", 16).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; each row is judged by itself, and texts without words stay."""
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays, and n_chars follows its text."""
+    """Secrets are masked; every row stays, null and empty texts as they are, and n_chars (null for a null text) follows the text."""
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of what they decode to."""
+    """Token ids of every row, with digests of the ids and of what they decode to; null and empty texts have none."""
     return encode_digest(docs, tokens=True)
 
 
