@@ -4,7 +4,7 @@ Vectors of cosine c or more are, at unit length, within squared distance 2 - 2c.
 the coordinates are split into ``blocks`` low-dimensional subspaces; in one of them at least the
 squared distance is within the proportional budget (2 - 2c) / blocks.  Each subspace is range-joined by
 itself: vectors go to the cell of the nearest pivot and visit each later cell that their ball can
-reach, and a cell compares its residents with all that it holds.
+reach, and a cell compares its residents with all that it holds, by the boxes of a k-d tree.
 
 The range join is dealt rotated coordinates of one byte each.  With the rounding allowed for, they
 rule out pairs that are too far apart in the subspace or as a whole, and pairs that an earlier
@@ -133,12 +133,41 @@ def deal(shared, blocks: int, cosine: float):
     return run
 
 
-def meets(home, part, resident, cut: bool, h):
-    """Which pairs of rows h and all rows a tile is to compare."""
+def meets(part, resident, cut: bool, h, there):
+    """Which pairs of rows h and ``there`` a tile is to compare."""
     import numpy as np
 
-    out = (resident == 0)[None, :] | (np.arange(len(resident))[None, :] > h[:, None])
-    return out & (part[h][:, None] != part[None, :]) if cut else out
+    out = (resident[there] == 0)[None, :] | (there[None, :] > h[:, None])
+    return out & (part[h][:, None] != part[there][None, :]) if cut else out
+
+
+def near_boxes(z, rows, radius: float, size: int = 128):
+    """(some of the rows, all that lie within ``radius`` of their box), for the leaves of a k-d tree over ``rows``."""
+    import numpy as np
+
+    away = lambda v, a, b: np.maximum(np.maximum(a - v, v - b), 0) ** 2
+    limit = radius * radius + 1e-6
+    low, high = z[rows].min(0), z[rows].max(0)
+    far = away(z, low, high).sum(1)
+    others = np.flatnonzero(far <= limit)
+    todo = [(rows, others, low, high, far[others])]
+    while todo:
+        rows, others, low, high, far = todo.pop()
+        axis = int((high - low).argmax())
+        if len(rows) <= size or high[axis] == low[axis]:
+            yield from ((rows[at : at + 2 * size], others) for at in range(0, len(rows), 2 * size))
+            continue
+        v, w = z[rows, axis], z[others, axis]
+        left = v <= np.median(v)
+        if left.all():
+            left = v < high[axis]
+        without = far - away(w, low[axis], high[axis])
+        for part in (left, ~left):
+            a, b = low.copy(), high.copy()
+            a[axis], b[axis] = v[part].min(), v[part].max()
+            now = without + away(w, a[axis], b[axis])
+            stay = now <= limit
+            todo.append((rows[part], others[stay], a, b, now[stay]))
 
 
 def left_over(blocks: int, cosine: float):
@@ -159,19 +188,17 @@ def left_over(blocks: int, cosine: float):
         z = q.astype(np.float32) / STEPS
         found = np.zeros(len(key), bool)
         home = np.flatnonzero(resident == 1)
-        for at in range(0, len(home), 256):
-            h = home[at : at + 256]
-            ok = distances(z[h][:, parts[b]], z[:, parts[b]]) <= (near + off[b]) ** 2
-            ok &= meets(home, part, resident, low != high, h)
+        for h, there in near_boxes(z[:, parts[b]], home, near + off[b]) if len(home) else ():
+            ok = distances(z[h][:, parts[b]], z[there][:, parts[b]]) <= (near + off[b]) ** 2
+            ok &= meets(part, resident, low != high, h, there)
             if ok.mean() > 0.02:  # a crowd: whole matrices are cheaper than lists of pairs
-                ok &= distances(z[h], z) <= whole + 1e-4
+                ok &= distances(z[h], z[there]) <= whole + 1e-4
                 for e in range(b):
-                    ok &= ~(distances(z[h][:, parts[e]], z[:, parts[e]]) <= max(near - off[e], 0) ** 2 - 1e-4)
-                found[h[ok.any(1)]] = True
-                found |= ok.any(0)
+                    ok &= ~(distances(z[h][:, parts[e]], z[there][:, parts[e]]) <= max(near - off[e], 0) ** 2 - 1e-4)
+                found[h[ok.any(1)]] = found[there[ok.any(0)]] = True
                 continue
             i, j = np.nonzero(ok)
-            i = h[i]
+            i, j = h[i], there[j]
             for lo in range(0, len(i), 100_000):
                 a, c = i[lo : lo + 100_000], j[lo : lo + 100_000]
                 gap = np.add.reduceat((z[a] - z[c]) ** 2, [s.start for s in parts], axis=1)
@@ -203,12 +230,13 @@ def verify(blocks: int, cosine: float):
         parts = subspaces(dim, blocks)
         budget = (2 - 2 * cosine) / len(parts)
         home = np.flatnonzero(resident == 1)
-        links, up = np.zeros(len(key), np.int64), np.arange(len(key))
+        every = np.arange(len(key))
+        links, up = np.zeros(len(key), np.int64), every
         rows = max(1, min(256, (1 << 20) // len(key)))
         for at in range(0, len(home), rows):
             h = home[at : at + rows]
             cos = u[h] @ u.T
-            near = (cos >= cosine - 1e-12) & meets(home, part, resident, low != high, h)
+            near = (cos >= cosine - 1e-12) & meets(part, resident, low != high, h, every)
             a, c = np.nonzero(near & (cos < cosine + 1e-12))  # too close to tell: by the plain formula
             if len(a):
                 p, r = x[h[a]], x[c]
@@ -254,7 +282,7 @@ def pivots_of(vectors: DataFrame, n: int, blocks: int, per_cell: int, per_tile:
     return pivots, tiles
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, per_cell: int = 1000, per_tile: int = 20_000, sample: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, per_cell: int = 20_000, per_tile: int = 20_000, sample: int = 4096) -> DataFrame:
     """Per vector: vec_id, n_links, component_id (smallest id reachable), kept.
 
     ``per_cell`` vectors a pivot are aimed at (a pivot is one of the ``sample``), tiles of at most about ``per_tile`` residents.
