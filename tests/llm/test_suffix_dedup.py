@@ -63,3 +63,35 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, text), (3, text), (3, text), (4, "")], "doc_id long, text string")
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_removed) for r in remove_repeats(df).collect())
     assert got == [(False, 0, 0), (True, 3, 120), (True, 3, 120), (True, 4, 0)]
+
+
+def test_ids_with_several_texts(spark):
+    """Texts of one id, or of no id, are documents of their own in order of their digests."""
+    a, b, c = ("a" + "qwertyuiop" * 15, "b" + "qwertyuiop" * 15, "short")
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (None, c), (None, a), (None, ""), (None, None), (5, c)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in remove_repeats(df).collect())
+    # within a text of period ten all but its first strings repeat; across texts of no id and of id 1 all but the first letter
+    assert [x for x in got if x[1] != len(a)] == [(0, 0, 0), (0, 0, 0), (0, 5, 0), (5, 5, 0)]
+    whole = [x for x in got if x[1] == len(a)]
+    assert whole[0][0] == 0 and whole[0][2] < len(a) - 1 and [x[2] for x in whole[1:]] == [len(a) - 1, len(a) - 1, len(a)]
+
+
+def test_long_text_in_segments(spark, monkeypatch):
+    """A text longer than a segment, cut at places that lie inside repeats, against the plain definition."""
+    monkeypatch.setattr("tidemark.llm.suffix_dedup.SEGMENT", 700)
+    import random
+
+    r = random.Random(3)
+    part = ["".join(r.choices("abcdefgh ", k=r.randint(90, 400))) for _ in range(12)]
+    rows = [(i, "".join(r.choices(part, k=r.randint(1, 25)))) for i in range(8)]
+    seen, want = set(), {}
+    for d, t in rows:
+        gone = [False] * len(t)
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = [True] * 100
+            seen.add(t[s : s + 100])
+        want[d] = sum(gone)
+    for hot in (50_000, 1):
+        got = {x.doc_id: x.n_removed for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+        assert got == want

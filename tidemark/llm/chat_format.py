@@ -64,7 +64,8 @@ def spans(template, turns: list):
         rewritten |= not grown
         where.append((len(whole) if grown else 0, len(text)))
         if role == "assistant":
-            probe = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text)
+            held = set(text)
+            probe = next(c for c in map(chr, [*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)]) if c not in held)
             frame = template.render([*turns[:k], (role, probe)])
             head = frame.find(probe)
             tail = len(frame) - head - 1

@@ -17,8 +17,9 @@ The plan has four steps, none of which gathers more than a bounded bucket in one
    that combines before the shuffle, so no such group meets in one task.
 
 Null or empty texts stay as they are.  A null id sorts first.  Rows that repeat an id and its text
-count as one document, and each gets its result; an id must not have two texts.  Other columns of
-the input are ignored.  An empty table gives an empty result.
+count as one document, and each gets its result; different texts of an id, or of no id, are documents
+in order of their digests.  Texts of any length are worked through whole, in overlapping segments.
+Other columns of the input are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -380,9 +381,19 @@ def repeated_ranges(docs: DataFrame, length: int = 100, hot: int = 50_000) -> Da
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, texts: bool = False, hot: int = 50_000) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text on request)."""
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    digest, names = F.md5(F.coalesce("text", F.lit("")).cast("binary")), None
+    checked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    if checked.where("a <> b").limit(1).count():  # ids with several texts: a number for each, in order
+        names = docs.select(F.col("doc_id").alias("id"), digest.alias("digest")).distinct().orderBy("id", "digest")
+        names = shared_table(names.withColumn("key", F.monotonically_increasing_id()))
+        docs = shared_table(docs.select(F.col("doc_id").alias("id"), digest.alias("digest"), "text").join(names, ["id", "digest"]).select(F.col("key").alias("doc_id"), "text"))
     found = repeated_ranges(docs, length, hot)
     pieces = found.select("doc", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n") - 1) / (1 << 23)).cast("long"))).alias("i"), "start", "n")
     piece = (F.shiftleft(F.col("start") + F.col("i") * (1 << 23), 24) + F.least(F.col("n") - F.col("i") * (1 << 23), F.lit(1 << 23))).alias("span")
     spans = pieces.select("doc", piece).groupBy("doc").agg(F.collect_list("span").alias("spans"))
     both = docs.join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(drop_spans(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
+    out = both.mapInArrow(drop_spans(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
+    if names is None:
+        return out
+    own = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
+    return out.join(names, F.col("doc_id") == F.col("key")).select(own, *out.columns[1:])
