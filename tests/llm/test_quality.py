@@ -4,7 +4,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from tidemark.llm.quality import BITS, CLASSES, RANK, Machine, score_quality
+from tidemark.llm.quality import BITS, CLASSES, RANK, Machine, keep_good, score_quality
 
 DATA = Path("/root/testdata/sf0.1")
 
@@ -41,3 +41,25 @@ def test_edges(spark):
     none = score_quality(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5} and {r.predicted for r in none} == {1}
     assert score_quality(docs.limit(0), labels).collect() == []
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    """The fit depends neither on the order of rows nor on how often an id is repeated; helper columns give way to the table's own."""
+    good, bad = "one plain sentence about rivers and towns. " * 3, "!!! $$$ 123 zzz @@@ " * 4
+    rows = [(i, (good if i % 2 else bad) + str(i), i) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    more = docs.union(docs.where("doc_id < 30")).repartition(5)
+    want = {r.doc_id: r.score for r in score_quality(docs, labels).collect()}
+    got = {r.doc_id: r.score for r in score_quality(more, labels).collect()}
+    assert max(abs(want[k] - got[k]) for k in want) < 1e-9
+    wide = docs.selectExpr("*", "7 AS meta", "8 AS meta_")
+    kept = keep_good(wide, labels)
+    assert kept.columns == wide.columns and {(r.meta, r.meta_) for r in kept.collect()} == {(7, 8)}
+
+
+def test_very_long_text(spark):
+    long = "word another " * 300_000
+    docs = spark.createDataFrame([(1, long), (2, "short one"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (4, 0)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in score_quality(docs, labels).collect())

@@ -9,7 +9,9 @@ their id, so the fit has a fixed size at any scale; every document is scored by
 the broadcast model has a fixed size too.  Neither labels nor ids are features.
 
 A null text counts as empty and is scored by its structure; null metadata count as 0.  A null id
-is kept and never held out.  Rows of labels that repeat an id count once, with the smallest label.
+is kept and never held out.  Rows of labels that repeat an id count once, with the smallest label; of
+documents that repeat a labelled id one is learnt from, and each is scored.  Texts of any length are
+judged whole, a chunk of texts or one text at a time.
 Without any label the score is 0.5.  Other columns are ignored; an empty table gives an empty result.
 """
 
@@ -238,7 +240,8 @@ def trained(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), metadata(documents, meta_cols).alias("meta"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(fold_of("doc_id", folds) != held)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "meta", "label")  # at most ``sample`` ids
+    rows = docs.join(F.broadcast(known), "doc_id")  # at most ``sample`` ids; of one that is repeated, the text with the least hash
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "meta")).alias("x")).select("doc_id", "x.text", "x.meta", "label")
     metas = 1 + sum(c in documents.columns for c in meta_cols)
     m = fit([r.block for r in rows.mapInArrow(feature_rows(), "block binary").collect()], metas)
     return documents.sparkSession.sparkContext.broadcast((m.bias, m.weight, m.factors, m.centre, m.scale))
