@@ -1,11 +1,12 @@
 import hashlib
 import re
+from base64 import b64encode
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.secret_scan import CANDIDATE, PREFIX, STRIDE, features, fit_forest, labelled_findings, read_trees, redact, scan_secrets, vote
+from tidemark.llm.secret_scan import CANDIDATE, PART, PREFIX, STRIDE, VOCABULARY, any_of, dictionary, features, fit_forest, labelled_findings, read_trees, redact, scan_secrets, transitions_of, vote
 
 PAT = re.compile(CANDIDATE)
 TEXTS = [
@@ -138,3 +139,31 @@ def test_many_candidates_keep_their_places(spark):
         got = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
         want = {(text.index(d), len(d), hashlib.sha256(d.encode()).hexdigest()) for d in digests[:n]}
         assert {(r.start, r.length, r.candidate_sha256) for r in got} == want
+
+
+def test_features_are_of_whole_candidates(spark):
+    """Words, transitions and runs of letters far behind the head of a candidate count like those in it."""
+    words = dictionary(VOCABULARY, 3000)
+    table = [float(f"{x:.4f}") for x in transitions_of(words)]
+    prose = lambda n: "".join(words[i % 997] for i in range(n))[:n]
+    digits = lambda n: "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(n // 64 + 1))[:n]
+    values = [prose(399), prose(400), prose(401), prose(400) + digits(800), digits(400) + prose(800), digits(500) + "İÉ\U0001f511K" + prose(300)]
+    values += [prose(n) for n in (PART - 1, PART, PART + 1, PART + 2, 2 * PART, 2 * PART + 1)] + [digits(PART - 1) + "İ" + prose(PART) + "\U0001f511", "x", "", None]
+    c, none = F.col("c"), F.lit("")
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, c string")
+    for r in rows.select("i", F.lower("c").alias("low"), F.length("c").alias("n"), features(c, none, none).alias("f")).collect():
+        low, n = r.low or "", max(r.n or 0, 1)
+        code = [ord(x) - 97 if "a" <= x <= "z" else 26 if "0" <= x <= "9" else 27 for x in low]
+        steps = [table[a * 28 + b] for a, b in zip(code, code[1:])]
+        assert r.f.transitions == pytest.approx(sum(steps) / len(steps) if steps else 0)
+        assert r.f.covered == pytest.approx(0 if r.low is None else 1 - len(re.sub(any_of(words), "", low)) / max(len(low), 1))
+        assert r.f.longest == pytest.approx(max(len(x) for x in re.split("[^a-z]+", low)) / n)
+
+
+def test_score_is_the_same_from_either_end(spark):
+    """500 code points of words and 500 at random, in both orders: all features but the seam are equal."""
+    words = "".join(dictionary(VOCABULARY, 300))[:500]
+    mixed = b64encode(b"".join(hashlib.sha256(bytes([i])).digest() for i in range(12))).decode()[:500].replace("/", "7").replace("+", "8")
+    rows = [(1, f"token={words}{mixed} "), (2, f"token={mixed}{words} ")]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].length == got[2].length == 1000 and got[1].score == pytest.approx(got[2].score, abs=0.02)

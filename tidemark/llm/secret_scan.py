@@ -10,7 +10,9 @@ All of it is DataFrame expressions.  Candidates are
 Their features are length, changes between character classes, the shares of classes and of different
 characters, how common their letters' transitions are, coverage by dictionary words, signs of a path
 or an address, and the words next to them.  The dictionary are the commonest whole words of a public
-vocabulary file; transitions are counted in its words.  The forest is trained from labelled findings
+vocabulary file; transitions are counted in its words.  All of them are of the whole candidate, however
+long it is; where each character becomes a value of its own, parts of ``PART`` code points are taken one
+after the other and added up.  The forest is trained from labelled findings
 with Spark's own trainer and then written out as one conditional expression, so that scoring is a
 narrow projection without any shuffle.
 
@@ -52,6 +54,8 @@ CANDIDATE = (
     r")"
 )
 AROUND = 40
+#: Code points of a candidate whose transitions are looked up together.
+PART = 4096
 #: Candidates of a text whose lengths are added up together.
 STRIDE = 128
 #: Short words and digit runs that real secrets seldom hold, beside the dictionary's.
@@ -111,11 +115,13 @@ def features(candidate: Column, before: Column, after: Column, vocabulary: str =
     share = lambda p: F.length(F.regexp_replace(candidate, p, "")) / n
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(candidate, "[^A-Za-z0-9]", "-"), "[A-Z]", "A"), "[b-z]", "a"), "[1-9]", "0")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    low = F.lower(F.left(candidate, F.lit(400)))  # of a block of a key, its head
+    low = F.lower(candidate)
     letters = F.regexp_replace(low, "[^a-z]+", " ")
-    code = F.transform(F.split(low, ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97).when(c.between("0", "9"), 26).otherwise(27))
+    parts = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{1,{PART + 1}}}+)).{{1,{PART}}}+"), F.lit(1))  # each with the next one's first, so no pair is lost
+    code = lambda part: F.transform(F.split(part, ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97).when(c.between("0", "9"), 26).otherwise(27))
     table = F.expr(f"array({', '.join(f'{x:.4f}D' for x in transitions_of(words))})")
-    step = F.zip_with(F.slice(code, 1, F.greatest(F.size(code) - 1, F.lit(0))), F.slice(code, 2, F.greatest(F.size(code) - 1, F.lit(0))), lambda a, b: F.element_at(table, (a * 28 + b + 1).cast("int")))
+    step = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.element_at(table, (a * 28 + b + 1).cast("int")))
+    add = lambda s, part: F.aggregate(F.array(code(part)), s, lambda z, c: F.aggregate(step(c), z, lambda y, x: y + x))  # noqa: E731  an array of one: the codes are made once
     values = [
         n,
         F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) / n,
@@ -126,7 +132,7 @@ def features(candidate: Column, before: Column, after: Column, vocabulary: str =
         F.size(F.array_distinct(F.split(candidate, ""))) / n,
         flag(candidate.rlike("^[0-9a-fA-F]+$")),
         1 - F.length(F.regexp_replace(low, any_of(words), "")) / F.greatest(F.length(low), F.lit(1)),
-        F.try_divide(F.aggregate(step, F.lit(0.0), lambda s, x: s + x), F.size(step)),
+        F.try_divide(F.aggregate(parts, F.lit(0.0), add), F.greatest(F.length(low) - 1, F.lit(0))),
         F.length(F.regexp_replace(candidate, "[^/]", "")).cast("double"),
         flag(before.rlike(r"(://|www\.)\S*$|[/.@]$") | after.rlike(r"^\.[a-z]{2,5}\b|^/")),
         F.array_max(F.transform(F.split(letters, " "), lambda x: F.length(x))) / n,
